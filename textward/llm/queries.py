@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import binary_output, packing, separator_scan
 from .shared import documents
 
 
@@ -17,6 +17,8 @@ def _on_documents(query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": _on_documents(packing.packing_query),
+        "op5_binary_output": _on_documents(binary_output.binary_output_query),
+        "op9_token_counts": _on_documents(separator_scan.token_counts_query),
     }
 
 

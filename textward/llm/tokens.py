@@ -86,9 +86,9 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def id_batches(batches: Iterator, vocabulary: str, rows: int = 256) -> Iterator[list[tuple[int | None, np.ndarray]]]:
+def id_batches(batches: Iterator, vocabulary: str, end_id: int = END_ID, rows: int = 256) -> Iterator[list[tuple[int | None, np.ndarray]]]:
     """(doc_id, ids with the end id) for Arrow batches of (doc_id, text), a few hundred documents at a time."""
-    enc, end = encoder(vocabulary), np.array([END_ID], dtype="<u4").tobytes()
+    enc, end = encoder(vocabulary), np.array([end_id], dtype="<u4").tobytes()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
