@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_output, packing, separator_scan
+from . import binary_output, exact_dedup, license_scan, mixing, packing, quality_rules, separator_scan
 from .shared import documents
 
 
@@ -17,10 +17,19 @@ def _on_documents(query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": _on_documents(packing.packing_query),
+        "op2_exact_dedup": _on_documents(exact_dedup.exact_dedup_query),
+        "op3_quality_rules": _on_documents(quality_rules.quality_rules_query),
         "op5_binary_output": _on_documents(binary_output.binary_output_query),
+        "op6_license_scan": _on_documents(license_scan.license_scan_query),
+        "op7_mixing": _on_documents(mixing.mixing_query),
         "op9_token_counts": _on_documents(separator_scan.token_counts_query),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_exact_dedup": exact_dedup.EXACT_DEDUP_SQL,
+        "op3_quality_rules": quality_rules.QUALITY_RULES_SQL,
+        "op6_license_scan": license_scan.LICENSE_SCAN_SQL,
+        "op7_mixing": mixing.MIXING_SQL,
+    }
