@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_output, exact_dedup, license_scan, mixing, packing, quality_rules, separator_scan
+from . import binary_output, exact_dedup, language_id, license_scan, mixing, packing, quality_rules, separator_scan
 from .shared import documents
 
 
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_binary_output": _on_documents(binary_output.binary_output_query),
         "op6_license_scan": _on_documents(license_scan.license_scan_query),
         "op7_mixing": _on_documents(mixing.mixing_query),
+        "op8_language_id": _on_documents(language_id.language_id_query),
         "op9_token_counts": _on_documents(separator_scan.token_counts_query),
     }
 
