@@ -7,63 +7,112 @@ Texts with other white space are encoded whole. tests/llm/test_tokens.py holds b
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 
+#: Split pattern of byte-level BPE, a fixed value of that scheme.
+BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Appended to each document by the packing and binary-output operators.
 END_ID = 2
-#: Pieces kept per worker and role; the table starts anew beyond it, so memory is bounded (about 80 MB).
-PIECES_KEPT = 300_000
+#: Pieces kept per worker and table; a table starts anew beyond it, so memory is bounded (about 130 MB each).
+PIECES_KEPT = 600_000
 
 _PLAIN = "!-~¡-¬®-ɏ"
-_UNSAFE = re.compile(f"[^{_PLAIN}][ \n]|[ \n][^{_PLAIN}]")
+#: A piece may be cut off only where printing characters stand on both sides.
+_PLAIN_ENDS = re.compile(f"[{_PLAIN}](?:.*[{_PLAIN}])?", re.DOTALL)
+#: Pieces of only these need neither composing nor special lower-casing.
+_SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]*")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters byte-level BPE writes bytes as: printing Latin-1 bytes as themselves, the rest from U+0100 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class _UnusualWhite(Exception):
+    """A text has white space that may be part of a token."""
 
 
 class _Pieces(dict):
-    """Piece -> its ids as little-endian uint32 bytes."""
+    """Piece -> its ids as little-endian uint32 bytes, made when first asked for."""
 
-    def __init__(self, encode, prefix: str):
+    def __init__(self, make):
         super().__init__()
-        self._encode, self._prefix = encode, prefix
+        self._make = make
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= PIECES_KEPT:
             self.clear()
-        ids = self[piece] = self._encode(self._prefix + piece)
+        ids = self[piece] = self._make(piece)
         return ids
 
 
 class TextEncoder:
-    """encode(text) -> ids as little-endian uint32 bytes, equal to the library's ids of the whole text."""
+    """encode(text) -> ids as little-endian uint32 bytes, equal to the library's ids of the whole text.
+
+    A new piece is cut into words by the tokenizer file's own split pattern and each new word goes through the
+    library's merge model; pieces with unusual characters, and texts with unusual white space, go through the library
+    whole."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(vocabulary)
         self._tokenizer.encode_special_tokens = True
-        self._heads = _Pieces(self.encode_whole, "")
-        self._tails = _Pieces(self.encode_whole, " ")
+        self._tokenize = self._tokenizer.model.tokenize
+        with open(vocabulary, encoding="utf-8") as f:
+            parts = json.load(f)
+        split = (parts["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
+        self._lower = split is not None
+        self._split = regex.compile(split or BYTE_LEVEL_SPLIT).findall
+        self._letters = _byte_letters()
+        self._words = _Pieces(self._encode_word)
+        self._heads = _Pieces(lambda piece: self._encode_piece(piece, ""))
+        self._tails = _Pieces(lambda piece: self._encode_piece(piece, " "))
         # a line break alone between printing characters is a token, or is dropped as white space
         self._break = self.encode_whole("a\nb")[4:-4]
 
     def encode_whole(self, text: str) -> bytes:
         return np.asarray(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
+    def _encode_word(self, word: str) -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self._letters)
+        elif word[0] == " ":
+            word = self._letters[32] + word[1:]
+        return array("I", [t.id for t in self._tokenize(word)]).tobytes()
+
+    def _encode_piece(self, piece: str, blank: str) -> bytes:
+        if piece.isascii() and piece.isalpha():
+            return self._encode_word((blank + piece).lower().strip() if self._lower else blank + piece)
+        if not _PLAIN_ENDS.fullmatch(piece):
+            raise _UnusualWhite
+        if not _SIMPLE.fullmatch(piece):
+            return self.encode_whole(blank + piece)
+        piece = blank + piece
+        return b"".join(map(self._words.__getitem__, self._split(piece.lower() if self._lower else piece)))
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if text[0] in " \n" or text[-1] in " \n" or _UNSAFE.search(text):
-            return self.encode_whole(text)
         heads, tail, line_break, out = self._heads, self._tails.__getitem__, self._break, []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            out.append(heads[first])
-            out.extend(map(tail, rest))
-            out.append(line_break)
+        try:
+            for line in text.split("\n"):
+                first, *rest = line.split(" ")
+                out.append(heads[first])
+                out.extend(map(tail, rest))
+                out.append(line_break)
+        except _UnusualWhite:
+            return self.encode_whole(text)
         if line_break:
             out.pop()
         return b"".join(out)
