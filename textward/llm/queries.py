@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_output, exact_dedup, language_id, license_scan, mixing, packing, quality_rules, separator_scan
+from . import binary_output, exact_dedup, jaccard_join, language_id, license_scan, mixing, packing, quality_rules, separator_scan
 from .shared import documents
 
 
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_mixing": _on_documents(mixing.mixing_query),
         "op8_language_id": _on_documents(language_id.language_id_query),
         "op9_token_counts": _on_documents(separator_scan.token_counts_query),
+        "op10_jaccard_join": _on_documents(jaccard_join.jaccard_join_query),
     }
 
 
@@ -33,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_quality_rules": quality_rules.QUALITY_RULES_SQL,
         "op6_license_scan": license_scan.LICENSE_SCAN_SQL,
         "op7_mixing": mixing.MIXING_SQL,
+        "op10_jaccard_join": jaccard_join.JACCARD_JOIN_SQL,
     }
