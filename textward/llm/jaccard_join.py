@@ -27,8 +27,8 @@ from .shared import materialise
 U64 = np.uint64
 #: Keys of a group above which it counts as frequent.
 FREQUENT = 64
-#: Size bands that are told apart; the last ones stand for sets larger than memory.
-LAYOUTS = 128
+#: Sets are smaller than this.
+LARGEST = 1 << 34
 #: Weight of a candidate against a key in the cost of an allocation, and how fast candidates thin out with a segment's size.
 COLLISIONS, THINNING = 10.0, 0.5
 
@@ -105,9 +105,10 @@ class Bands:
 
     def layout(self, number: int) -> Layout:
         # the largest size of the band, found by its definition so that rounding cannot split a pair
-        top = int((100 / self.percent) ** (number + 1)) + 2
-        while top > 1 and self.band(top) > number:
-            top -= 1
+        top, above = 1, 4 + int(1.01 * (100 / self.percent) ** (number + 1))
+        while above - top > 1:
+            middle = (top + above) // 2
+            top, above = (middle, above) if self.band(middle) <= number else (top, middle)
         # a link of sizes s and t has s + t - 2i different elements, i at least percent (s + t) / (100 + percent)
         most = (100 - self.percent) * 2 * top // (100 + self.percent)
         spare = 1 + most // 8 if most > 1 else 0
@@ -305,7 +306,7 @@ def jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85, doc_col: str
     found = components(links)
 
     # a set with no more weak and frequent keys in a layout than spares meets its partners under other keys
-    spares = F.array(*[F.lit(bands.layout(k).spare) for k in range(LAYOUTS)])
+    spares = F.array(*[F.lit(bands.layout(k).spare) for k in range(bands.band(LARGEST) + 2)])
     more = groups.where("kind = 'more'")
     needed = more.where("frequent").groupBy("a", "layout").agg((F.count(F.lit(1)) + F.max("weak")).alias("lost"))
     needed = needed.where(F.col("lost") > F.get(spares, F.col("layout"))).select("a", "layout")
