@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_output, exact_dedup, jaccard_join, language_id, license_scan, mixing, packing, quality_rules, separator_scan
+from . import binary_output, exact_dedup, jaccard_join, language_id, license_scan, mixing, packing, quality_rules, separator_scan, suffix_dedup
 from .shared import documents
 
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": _on_documents(packing.packing_query),
         "op2_exact_dedup": _on_documents(exact_dedup.exact_dedup_query),
         "op3_quality_rules": _on_documents(quality_rules.quality_rules_query),
+        "op4_suffix_dedup": _on_documents(suffix_dedup.suffix_dedup_query),
         "op5_binary_output": _on_documents(binary_output.binary_output_query),
         "op6_license_scan": _on_documents(license_scan.license_scan_query),
         "op7_mixing": _on_documents(mixing.mixing_query),
