@@ -57,8 +57,8 @@ def line_key(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("long")
 
 
-def base_figures(docs: DataFrame, doc_col: str, text_col: str, host_col: str) -> DataFrame:
-    """Per row of docs: row_id, doc_id, host, the base figures, and lines (key, chars) with chars over all repeats."""
+def base_figures(docs: DataFrame, doc_col: str, text_col: str, host_col: str, with_text: bool = False) -> DataFrame:
+    """Per row of docs: row_id, doc_id, host, the base figures, and lines (key, chars), one for each line with a word."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(doc_col).cast("long").alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), text.alias("text"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, WHITE, "")) > 0)
@@ -72,7 +72,8 @@ def base_figures(docs: DataFrame, doc_col: str, text_col: str, host_col: str) ->
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         keyed.alias("lines"),
-    ).select("row_id", "doc_id", "host", "w.n_words", "word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words", "lines")
+        *(["text"] if with_text else []),
+    ).select("row_id", "doc_id", "host", "w.n_words", "word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words", "lines", *(["text"] if with_text else []))
 
 
 def quality_rules(
@@ -85,6 +86,7 @@ def quality_rules(
     depleted_share: float = 0.8,
     least_words: int = 50,
     repeat_percent: int = 50,
+    with_text: bool = False,
 ) -> DataFrame:
     """One row per row of docs: row_id, doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, line_chars (of normalised lines), boilerplate_chars (of those in lines above the limits).
@@ -92,20 +94,22 @@ def quality_rules(
     A line is above the limits on a host if more than least_documents and more than host_share of the host's documents
     hold it (documents with the same smallest line hash count once). A document is rejected if it fails the base rules
     (fewer than least_words words, or over repeat_percent of them in repeated 3-word windows) or if more than
-    depleted_share of its line characters are boilerplate.
+    depleted_share of its line characters are boilerplate. with_text adds clean_text: the text without its lines above
+    the limits.
 
     Null text: no words, base_failed. Null host: a host of its own, shared with ''. Repeated rows are judged each and
     count as one document. Extra columns are ignored. An empty table gives no rows."""
-    figures = materialise(base_figures(docs, doc_col, text_col, host_col), "line-figures")
+    figures = materialise(base_figures(docs, doc_col, text_col, host_col, with_text), "line-figures")
     family = F.array_min(F.transform("lines", lambda x: x["key"]))
     on_host = figures.where(F.size("lines") > 0).select("host", family.alias("family"), F.explode(F.array_distinct(F.transform("lines", lambda x: x["key"]))).alias("key"))
     host_docs = figures.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
     counted = on_host.groupBy("host", "key", "family").agg(F.lit(1)).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > least_documents)
     common = materialise(counted.join(host_docs, "host").where(F.col("n_docs") > host_share * F.col("host_docs")).select("host", "key"), "common-lines")
     lines = figures.select("row_id", "host", F.explode("lines").alias("line")).select("row_id", "host", "line.key", "line.chars")
-    hit = lines.join(common, ["host", "key"], "left_semi").groupBy("row_id").agg(F.sum("chars").alias("hit"))
+    hit = lines.join(common, ["host", "key"], "left_semi").groupBy("row_id").agg(F.sum("chars").alias("hit"), *([F.collect_set("key").alias("hit_keys")] if with_text else []))
     base_failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     judged = figures.withColumn("line_chars", F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["chars"])).drop("lines").join(hit, "row_id", "left")
+    clean = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.coalesce(F.array_contains("hit_keys", line_key(normalised_line(x))), F.lit(False))), "\n")
     return judged.select(
         "row_id",
         "doc_id",
@@ -118,6 +122,7 @@ def quality_rules(
         (~base_failed & (F.coalesce("hit", F.lit(0)) <= depleted_share * F.col("line_chars"))).alias("kept"),
         "line_chars",
         F.coalesce("hit", F.lit(0).cast("long")).alias("boilerplate_chars"),
+        *([clean.alias("clean_text")] if with_text else []),
     )
 
 
