@@ -27,6 +27,8 @@ from .shared import materialise
 U64 = np.uint64
 #: Keys of a group above which it counts as frequent.
 FREQUENT = 64
+#: Parts of the universe whose sizes bound a difference from below.
+PARTS = 96
 #: Sets are smaller than this.
 LARGEST = 1 << 34
 #: Weight of a candidate against a key in the cost of an allocation, and how fast candidates thin out with a segment's size.
@@ -151,25 +153,28 @@ def _sets(batches, size: int):
 
 
 def set_classes(docs: DataFrame, size: int) -> DataFrame:
-    """doc, n (size of its set), class (least doc with the same set; null for the empty set)."""
+    """doc, n (size of its set), class (least doc with the same set; null for the empty set) and parts (the set's sizes
+    in PARTS parts of the universe: two sets differ in at least the sum of the differences of their parts)."""
 
     def describe(batches):
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], [], [], []]
         for doc, u in _sets(batches, size):
-            for column, value in zip(out, (doc, len(u), int(mix(u).sum(dtype=U64)), int((mix(u ^ U64(0x7F4A7C15)) | U64(1)).sum(dtype=U64))), strict=True):
+            parts = np.bincount((mix(u) >> U64(32)).astype(np.int64) % PARTS, minlength=PARTS)
+            for column, value in zip(out, (doc, len(u), int(mix(u).sum(dtype=U64)), int((mix(u ^ U64(0x7F4A7C15)) | U64(1)).sum(dtype=U64)), parts), strict=True):
                 column.append(value)
             if len(out[0]) >= 4096:
                 yield _batch(out)
-                out = [[], [], [], []]
+                out = [[], [], [], [], []]
         yield _batch(out)
 
     def _batch(out):
-        columns = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())] + [pa.array(np.array(c, U64).astype(np.int64)) for c in out[2:]]
-        return pa.RecordBatch.from_arrays(columns, names=["doc", "n", "k1", "k2"])
+        columns = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())] + [pa.array(np.array(c, U64).astype(np.int64)) for c in out[2:4]]
+        columns.append(pa.array([p.astype(np.int32) for p in out[4]], pa.list_(pa.int32())))
+        return pa.RecordBatch.from_arrays(columns, names=["doc", "n", "k1", "k2", "parts"])
 
-    rows = materialise(docs.mapInArrow(describe, "doc long, n long, k1 long, k2 long"), "sets")
+    rows = materialise(docs.mapInArrow(describe, "doc long, n long, k1 long, k2 long, parts array<int>"), "sets")
     least = materialise(rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc").alias("class")), "set-classes")
-    return materialise(rows.join(least, ["k1", "k2", "n"], "left").select("doc", "n", "class"), "set-of")
+    return materialise(rows.join(least, ["k1", "k2", "n"], "left").select("doc", "n", "class", "parts"), "set-of")
 
 
 def key_groups(docs: DataFrame, size: int, bands: Bands, buckets: int) -> DataFrame:
@@ -264,10 +269,12 @@ def key_groups(docs: DataFrame, size: int, bands: Bands, buckets: int) -> DataFr
 
 
 def verify(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs(a, b) of classes whose sets link; sizes(doc, n)."""
-    n = sizes.select("doc", "n")
-    sized = pairs.join(n.select(F.col("doc").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("doc").alias("b"), F.col("n").alias("nb")), "b")
-    sized = materialise(sized.where(F.col("na") * 100 >= F.col("nb") * percent).where(F.col("nb") * 100 >= F.col("na") * percent), "pairs")
+    """The pairs(a, b) of classes whose sets link; sizes(doc, n, parts). Sizes and parts come first and drop most of those that
+    do not link, exactly; the sets of the others are compared."""
+    of_a, of_b = (sizes.select(F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("parts").alias(f"p{c}")) for c in "ab")
+    sized = pairs.join(of_a, "a").join(of_b, "b").where(F.col("na") * 100 >= F.col("nb") * percent).where(F.col("nb") * 100 >= F.col("na") * percent)
+    differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.abs(x - y)), F.lit(0), lambda acc, x: acc + x)
+    sized = materialise(sized.where((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb"), "pairs")
     involved = sized.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
 
     def build(batches):
@@ -293,7 +300,7 @@ def jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85, doc_col: str
     classes = set_classes(rows, size)
     texts = rows.where("doc IS NOT NULL")
     class_of = classes.where("class IS NOT NULL").select("doc", "class").distinct()
-    sizes = classes.where("doc = class").select("doc", "n").distinct()
+    sizes = classes.where("doc = class").select("doc", "n", "parts").dropDuplicates(["doc", "n"])
     groups = key_groups(texts, size, bands, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def by_class(df: DataFrame, *columns: str) -> DataFrame:
