@@ -21,9 +21,10 @@ def scan_stream(stream: DataFrame, db: PatternDatabase, text_col: str = "text",
     return scan(stream, db, text_col, **options)
 
 
-def boundary_stream(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", window_chars: int = 4000, idle_ms: int = 3_600_000) -> DataFrame:
+def boundary_stream(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", window_chars: int = 4000, idle_ms: int | None = 3_600_000) -> DataFrame:
     """Joins of adjacent turns as they arrive. State per conversation: the place of its last turn and at most
-    window_chars of its end, dropped after idle_ms. Turns of one trigger are taken in turn order; a late turn is joined
+    window_chars of its end, dropped after idle_ms (a query with
+    that limit keeps triggering; None keeps all state). Turns of one trigger are taken in turn order; a late turn is joined
     with the last one seen."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -39,11 +40,12 @@ def boundary_stream(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
                 out.append((str(key[0]), seen, len(tail), len(tail) + len(SEPARATOR), tail + SEPARATOR + text[:window_chars]))
             seen, tail = seen + 1, text[-window_chars:]
         state.update((seen, tail or ""))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["conv", "boundary", "a_end", "b_start", "joined"])
 
     keyed = turns.select(F.col(conv_col).cast("string").alias("conv"), F.col(turn_col).alias("turn"), F.col(text_col).alias("text"))
-    return keyed.groupBy("conv").applyInPandasWithState(step, JOINS, "seen int, tail string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return keyed.groupBy("conv").applyInPandasWithState(step, JOINS, "seen int, tail string", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def cross_turn_stream(turns: DataFrame, db: PatternDatabase, **options) -> DataFrame:
