@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Queue entries held in memory, and entries read at a time from a run on disk.
-IN_MEMORY, READ = 2_000_000, 50_000
+IN_MEMORY, READ = 200_000, 20_000
 
 
 class DiskQueue:

@@ -47,10 +47,12 @@ def _least_of(values: np.ndarray, width: int) -> np.ndarray:
 
 def segments(raw: np.ndarray, owner: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
     """Segments of joined texts (owner: the text of each byte): text, start in raw, bytes, hash of the anchor, hash of
-    the segment. Every string of `length` bytes inside a text lies in exactly one."""
+    the segment, and hashes of what stands in it just before and after the anchor (0 where it is too short). Every
+    string of `length` bytes inside a text lies in exactly one segment. Equal strings share the anchor and, as one side
+    of it has at least half of the other bytes, the hash before it or the one after it."""
     none = np.zeros(0, np.int64)
     if len(raw) < length:
-        return none, none, none, none.astype(U64), none.astype(U64)
+        return none, none, none, none.astype(U64), none.astype(U64), none.astype(np.uint16), none.astype(np.uint16)
     up, down = _powers(len(raw) + 1)
     sums = np.concatenate([np.zeros(1, U64), np.cumsum(_TABLE[raw] * up[: len(raw)])])
     at = np.arange(len(raw) - anchor + 1)
@@ -65,7 +67,13 @@ def segments(raw: np.ndarray, owner: np.ndarray, length: int, anchor: int) -> tu
     last[:-1] &= (chosen[1:] != chosen[:-1]) | ~inside[1:]
     start, stop = np.flatnonzero(first), np.flatnonzero(last) + length
     content = mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(U64) * U64(0xD6E8FEB86659FD93))
-    return owner[start], start, stop - start, grams[chosen[start]], content
+    half, place = -(-(length - anchor) // 2), chosen[start]
+    left, right = place - half, place + anchor
+    has_left, has_right = left >= start, right + half <= stop
+    left, right = np.where(has_left, left, start), np.where(has_right, right, start)
+    before = np.where(has_left, mix((sums[left + half] - sums[left]) * down[left]) >> U64(48) | U64(1), U64(0)).astype(np.uint16)
+    after = np.where(has_right, mix((sums[right + half] - sums[right]) * down[right]) >> U64(48) | U64(1), U64(0)).astype(np.uint16)
+    return owner[start], start, stop - start, grams[place], content, before, after
 
 
 def _blocks(batches, length: int):
@@ -88,7 +96,7 @@ def _blocks(batches, length: int):
         yield ids, np.array(offsets), np.frombuffer(b"".join(parts), np.uint8), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
 
 
-SENT = "bucket int, anchors binary, contents binary, docs binary, starts binary, sizes binary"
+SENT = "bucket int, anchors binary, contents binary, docs binary, starts binary, sizes binary, befores binary, afters binary"
 SETTLED = "kind string, doc long, start long, size long, anchor long, content long, least long"
 
 
@@ -108,12 +116,12 @@ def settle(docs: DataFrame, length: int, anchor: int, buckets: int) -> DataFrame
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=U64))
             full = [(k, order[a:b]) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in full], pa.int32()), *(pa.array([c[o].tobytes() for _, o in full], pa.binary()) for c in columns)], names=["bucket", "anchors", "contents", "docs", "starts", "sizes"])
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in full], pa.int32()), *(pa.array([c[o].tobytes() for _, o in full], pa.binary()) for c in columns)], names=["bucket", "anchors", "contents", "docs", "starts", "sizes", "befores", "afters"])
 
         for ids, offsets, raw, owner in _blocks(batches, length):
-            text, start, size, anchors, contents = segments(raw, owner, length, anchor)
+            text, start, size, anchors, contents, left, right = segments(raw, owner, length, anchor)
             before = np.searchsorted(owner, np.arange(len(ids)))
-            held.append((anchors, contents, np.array(ids, np.int64)[text], (start - before[text] + offsets[text]).astype(np.uint32), size.astype(np.uint16)))
+            held.append((anchors, contents, np.array(ids, np.int64)[text], (start - before[text] + offsets[text]).astype(np.uint32), size.astype(np.uint16), left, right))
             count += len(text)
             if count >= 600_000:
                 yield flush()
@@ -121,27 +129,35 @@ def settle(docs: DataFrame, length: int, anchor: int, buckets: int) -> DataFrame
         if held:
             yield flush()
 
-    kinds = [U64, U64, np.int64, np.uint32, np.uint16]
+    kinds = [U64, U64, np.int64, np.uint32, np.uint16, np.uint16, np.uint16]
 
     def gather(batches):
-        parts = [[c.as_py() for c in row] for b in batches for row in zip(*(b.column(k) for k in range(1, 6)), strict=True)]
+        parts = [[c.as_py() for c in row] for b in batches for row in zip(*(b.column(k) for k in range(1, 8)), strict=True)]
         if not parts:
             return
-        anchors, contents, owners, starts, sizes = (np.frombuffer(b"".join(p[k] for p in parts), kind) for k, kind in enumerate(kinds))
+        anchors, contents, owners, starts, sizes, lefts, rights = (np.frombuffer(b"".join(p[k] for p in parts), kind) for k, kind in enumerate(kinds))
         del parts
         order = np.argsort(anchors, kind="stable")
         sorted_anchors = anchors[order]
         same = np.concatenate([[False], sorted_anchors[1:] == sorted_anchors[:-1]])
         order = order[same | np.concatenate([same[1:], [False]])]
         del sorted_anchors, same
-        anchors, contents, owners, starts, sizes = (c[order] for c in (anchors, contents, owners, starts, sizes))
+        anchors, contents, owners, starts, sizes, lefts, rights = (c[order] for c in (anchors, contents, owners, starts, sizes, lefts, rights))
         if not len(anchors):
             return
-        begin = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
-        count = np.diff(np.append(begin, len(anchors)))
-        whole = lambda f, x: np.repeat(f.reduceat(x, begin), count)
-        low, shared = whole(np.minimum, owners), whole(np.minimum, owners) != whole(np.maximum, owners)
-        alike = whole(np.minimum, contents) == whole(np.maximum, contents)
+        low, shared, alike = owners.copy(), np.zeros(len(owners), bool), np.ones(len(owners), bool)
+        for side in (lefts, rights):
+            rows = np.flatnonzero(side)
+            keys = mix(anchors[rows] ^ mix(side[rows].astype(U64)))
+            rows, keys = rows[o := np.argsort(keys, kind="stable")], keys[o]
+            if not len(rows):
+                continue
+            begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            count = np.diff(np.append(begin, len(keys)))
+            least, most = (np.repeat(f.reduceat(owners[rows], begin), count) for f in (np.minimum, np.maximum))
+            low[rows] = np.minimum(low[rows], least)
+            shared[rows] |= least != most
+            alike[rows] &= np.repeat(np.minimum.reduceat(contents[rows], begin) == np.maximum.reduceat(contents[rows], begin), count)
         cut = shared & alike & (owners > low)
         yield _rows("cut", owners[cut], starts[cut], sizes[cut])
         keep = shared & ~alike
