@@ -50,7 +50,7 @@ def test_no_documents(spark):
 
 def test_token_counts(spark):
     enc, start, want = TextEncoder(PATH), 0, []
-    for doc, text, _ in ordered():
+    for doc, text, _ in DOCS:
         n = len(enc.encode_whole(text or "")) // 4
         want.append((doc, start, n))
         start += n + 1

@@ -1,9 +1,9 @@
 """Token ids as files of byte-aligned, variable-length, frequency-ranked codes.
 
-Ids are ranked by frequency over the whole corpus, so the commonest 256 take one byte. A file holds, in this order:
-magic, counts of documents and ids, doc ids with null marks, ids per document, control bytes (four 2-bit lengths
-each) and, apart from them, data bytes. numpy decodes by looking each control byte up in a table of four lengths.
-The ranks, one vocabulary long, are a file of their own in the folder.
+A file ranks its ids by their frequency in it, so the commonest 256 take one byte, and is read without any other file.
+It holds, in this order: magic, counts of documents, ids and distinct ids, the distinct ids by rank, doc ids with null
+marks, ids per document, control bytes (four 2-bit lengths each) and, apart from them, data bytes. numpy decodes by
+looking each control byte up in a table of four lengths.
 """
 
 from __future__ import annotations
@@ -16,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered_files import id_counts, put_folder_file, write_ordered
+from .ordered_files import in_order, write_files
 from .shared import scratch
 from .tokens import vocabulary_path
 
-MAGIC, SUFFIX, RANKS = b"TWV1", ".twv", "ranks.twr"
+MAGIC, SUFFIX = b"TWV2", ".twv"
+HEAD = "<QQQ"
 #: Control byte -> the byte lengths of its four codes.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 DECODED = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -54,11 +55,16 @@ def decode_codes(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return codes
 
 
-def encode_file(doc_ids: list, ids: list[np.ndarray], rank_of: np.ndarray) -> list[bytes]:
+def encode_file(doc_ids: list, ids: list[np.ndarray]) -> list[bytes]:
     flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+    counts = np.bincount(flat)
+    id_of = np.argsort(-counts, kind="stable")[: int((counts > 0).sum())].astype("<u4")
+    rank_of = np.zeros(len(counts), np.uint32)
+    rank_of[id_of] = np.arange(len(id_of), dtype=np.uint32)
     control, data = encode_codes(rank_of[flat])
     return [
-        MAGIC + struct.pack("<QQ", len(doc_ids), len(flat)),
+        MAGIC + struct.pack(HEAD, len(doc_ids), len(flat), len(id_of)),
+        id_of.tobytes(),
         np.array([0 if d is None else d for d in doc_ids], dtype="<i8").tobytes(),
         np.array([d is None for d in doc_ids], dtype=np.uint8).tobytes(),
         np.array([len(x) for x in ids], dtype="<u4").tobytes(),
@@ -67,13 +73,14 @@ def encode_file(doc_ids: list, ids: list[np.ndarray], rank_of: np.ndarray) -> li
     ]
 
 
-def decode_file(content: bytes, id_of: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
+def decode_file(content: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     """Doc ids, ids per document, and all ids of a file."""
     if content[:4] != MAGIC:
         raise ValueError("not a token file of this format")
-    n_docs, n_ids = struct.unpack_from("<QQ", content, 4)
-    at = 20
-    docs = np.frombuffer(content, "<i8", n_docs, at)
+    n_docs, n_ids, n_ranks = struct.unpack_from(HEAD, content, 4)
+    at = 4 + struct.calcsize(HEAD)
+    id_of = np.frombuffer(content, "<u4", n_ranks, at)
+    docs = np.frombuffer(content, "<i8", n_docs, at := at + 4 * n_ranks)
     nulls = np.frombuffer(content, np.uint8, n_docs, at := at + 8 * n_docs)
     sizes = np.frombuffer(content, "<u4", n_docs, at := at + n_docs)
     control = np.frombuffer(content, np.uint8, -(-n_ids // 4), at := at + 4 * n_docs)
@@ -82,32 +89,24 @@ def decode_file(content: bytes, id_of: np.ndarray) -> tuple[list, np.ndarray, np
     return [None if z else int(d) for d, z in zip(docs, nulls, strict=True)], sizes, ids
 
 
-def write_token_files(docs: DataFrame, vocabulary: str, folder: str, ids_per_file: int = 4_000_000, doc_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int, int]]:
+def write_token_files(docs: DataFrame, vocabulary: str, folder: str, ids_per_file: int = 1_500_000, doc_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int, int]]:
     """Encode docs in ascending doc_id order (null first, repeated ids by text) into files in `folder`, which all
-    executors reach. Null text counts as empty, and each document ends with the end id. An empty table writes only
-    the ranks. Two passes tokenise: one counts, one encodes in order. Returns (file, documents, ids)."""
+    executors reach. Null text counts as empty, and each document ends with the end id. An empty table writes no file.
+    Texts are dealt by doc_id range and tokenised once. Returns (file without suffix, documents, ids)."""
     rows = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    counts = id_counts(rows, vocabulary)
-    id_of = np.argsort(-counts, kind="stable").astype("<u4")
-    rank_of = np.empty(len(id_of), dtype=np.uint32)
-    rank_of[id_of] = np.arange(len(id_of), dtype=np.uint32)
-    files = write_ordered(rows, vocabulary, folder, int(counts.sum()), ids_per_file, lambda d, i: {SUFFIX: encode_file(d, i, rank_of)})
-    put_folder_file(f"{folder}/{RANKS}", id_of.tobytes())
-    return files
+    return write_files(in_order(rows, ids_per_file), vocabulary, folder, ids_per_file, lambda d, i: {SUFFIX: encode_file(d, i)})
 
 
 def read_token_files(spark, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of each document, from the files alone."""
-    ranks = spark.read.format("binaryFile").load(f"{folder}/{RANKS}").select("content").first()
-    id_of = np.frombuffer(bytes(ranks.content), dtype="<u4")
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").load(folder)
 
     def sizes(batches):
         for batch in batches:
             for path, head in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([path.rsplit("/", 1)[-1]]), pa.array([struct.unpack_from("<QQ", head, 4)[1]], pa.int64())], names=["file", "n_ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([path.rsplit("/", 1)[-1]]), pa.array([struct.unpack_from(HEAD, head, 4)[1]], pa.int64())], names=["file", "n_ids"])
 
-    heads = files.select("path", F.expr("substring(content, 1, 20)").alias("head")).mapInArrow(sizes, "file string, n_ids long").collect()
+    heads = files.select("path", F.expr("substring(content, 1, 28)").alias("head")).mapInArrow(sizes, "file string, n_ids long").collect()
     bases, before = {}, 0
     for r in sorted(heads):
         bases[r.file], before = before, before + r.n_ids
@@ -115,7 +114,7 @@ def read_token_files(spark, folder: str) -> DataFrame:
     def decode(batches):
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                docs, n, ids = decode_file(content.as_py(), id_of)
+                docs, n, ids = decode_file(content.as_py())
                 ends = np.cumsum(n, dtype=np.int64)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 crcs = [zlib.crc32(raw[4 * (e - s) : 4 * e]) for e, s in zip(ends.tolist(), n.tolist(), strict=True)]

@@ -1,4 +1,4 @@
-"""Documents tokenised in ascending doc_id order and handed, a file's worth at a time, to a writer on the executors."""
+"""Documents tokenised and handed, a file's worth at a time, to a writer on the executors; in doc_id order if asked."""
 
 from __future__ import annotations
 
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from .tokens import END_ID, id_batches
 
+#: Text bytes an id stands for at least, roughly; only sizes files.
+BYTES_PER_ID = 2.5
 MANIFEST = "file string, n_docs long, n_ids long"
 
 
@@ -39,32 +41,18 @@ def make_folder(uri: str) -> None:
     fs.create_dir(path, recursive=True)
 
 
-def id_counts(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> np.ndarray:
-    """Occurrences of each id (with the end ids) in docs(doc_id, text); as long as the vocabulary, whatever the input."""
+def in_order(docs: DataFrame, ids_per_file: int) -> DataFrame:
+    """docs(doc_id, text) dealt by doc_id range (null first) to partitions of about ids_per_file ids, sorted in each."""
+    text_bytes = docs.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 3)).first()[0] or 0
+    parts = max(1, math.ceil(text_bytes / (BYTES_PER_ID * ids_per_file)))
+    return docs.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
-    def count(batches):
-        total = np.zeros(1, dtype=np.int64)
-        for rows in id_batches(batches, vocabulary, end_id):
-            if rows:
-                seen = np.bincount(np.concatenate([ids for _, ids in rows]))
-                total = np.pad(total, (0, max(0, len(seen) - len(total))))
-                total[: len(seen)] += seen
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
-
-    rows = docs.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(max((r.id for r in rows), default=0) + 1, dtype=np.int64)
-    for r in rows:
-        out[r.id] = r.n
-    return out
-
-
-def write_ordered(docs: DataFrame, vocabulary: str, folder: str, total_ids: int, ids_per_file: int, encode: Callable[[list, list[np.ndarray]], dict[str, list[bytes]]], end_id: int = END_ID) -> list[tuple[str, int, int]]:
-    """Write docs(doc_id, text) in ascending doc_id order (null first) as files of about ids_per_file ids whose names
-    sort in that order. encode(doc ids, id arrays) gives the bytes of a file, or of several by suffix. Returns (name
-    without suffix, documents, ids), one per file."""
+
+def write_files(docs: DataFrame, vocabulary: str, folder: str, ids_per_file: int, encode: Callable[[list, list[np.ndarray]], dict[str, list[bytes]]], end_id: int = END_ID) -> list[tuple[str, int, int]]:
+    """Write docs(doc_id, text), partition after partition in their order, as files of at most twice ids_per_file ids
+    (more only for one document) whose names sort in that order. encode(doc ids, id arrays) gives the bytes of a file,
+    or of several by suffix. Returns (name without suffix, documents, ids), one per file."""
     make_folder(folder)
-    parts = max(1, math.ceil(total_ids / ids_per_file))
 
     def write(batches):
         part, made = TaskContext.get().partitionId(), 0
@@ -93,6 +81,5 @@ def write_ordered(docs: DataFrame, vocabulary: str, folder: str, total_ids: int,
         if docs_held:
             yield flush()
 
-    placed = docs.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    rows = placed.mapInArrow(write, MANIFEST).collect()
+    rows = docs.mapInArrow(write, MANIFEST).collect()
     return sorted((r.file, r.n_docs, r.n_ids) for r in rows)

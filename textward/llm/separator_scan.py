@@ -13,7 +13,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .ordered_files import id_counts, write_ordered
+from .ordered_files import write_files
 from .shared import scratch
 from .tokens import vocabulary_path
 
@@ -73,20 +73,19 @@ def scan_flat_files(spark: SparkSession, folder: str, separator: int, id_bytes:
     return whole.unionByName(rest)
 
 
-def write_flat_files(docs: DataFrame, vocabulary: str, folder: str, separator: int, ids_per_file: int = 8_000_000, id_bytes: int = 2) -> None:
-    """Write docs(doc_id, text) in ascending doc_id order (null first, repeated ids by text) as flat files of ids, each
+def write_flat_files(docs: DataFrame, vocabulary: str, folder: str, separator: int, ids_per_file: int = 4_000_000, id_bytes: int = 2) -> None:
+    """Write docs(doc_id, text), in the order of its partitions and without a shuffle, as flat files of ids, each
     document closed by the separator, an id no text has. The files hold neither index nor doc ids; beside each, NAMES
     lists its doc ids in order. An empty table writes nothing."""
-    counts = id_counts(docs, vocabulary, separator)
-    if len(counts) > 1 << 8 * id_bytes:
-        raise ValueError("ids do not fit id_bytes")
     kind = f"<u{id_bytes}"
 
     def flat(doc_ids, ids):
+        if max(int(x.max()) for x in ids) >> 8 * id_bytes:
+            raise ValueError("ids do not fit id_bytes")
         names = np.array([NULL_NAME if d is None else d for d in doc_ids], dtype="<i8")
         return {SUFFIX: [np.concatenate(ids).astype(kind).tobytes()], NAMES: [names.tobytes()]}
 
-    write_ordered(docs, vocabulary, folder, int(counts.sum()), ids_per_file, flat, separator)
+    write_files(docs, vocabulary, folder, ids_per_file, flat, separator)
 
 
 def read_names(spark: SparkSession, folder: str) -> DataFrame:
@@ -103,8 +102,8 @@ def read_names(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, vocabulary: str, separator: int, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens (without the separator) and start (ids of all documents before it, separators counted) of each
-    row of docs, by writing flat files and scanning them. Null and empty texts count 0; a null doc_id stays null;
+    """doc_id, n_tokens (without the separator) and start (ids before it in the files in order, separators counted) of
+    each row of docs, by writing flat files and scanning them. Null and empty texts count 0; a null doc_id stays null;
     repeated rows give a row each; extra columns are ignored; an empty table gives no rows."""
     spark = docs.sparkSession
     folder = scratch(spark, "flat-ids")
@@ -116,7 +115,7 @@ def token_counts(docs: DataFrame, vocabulary: str, separator: int, doc_col: str
         base.append((r.path.rsplit("/", 1)[-1], before))
         before += r.length // 2
     bases = spark.createDataFrame(base, "file string, base long")
-    return scanned.join(read_names(spark, folder), ["file", "ordinal"]).join(bases, "file").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens")
+    return scanned.join(read_names(spark, folder).hint("merge"), ["file", "ordinal"]).join(bases, "file").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens")
 
 
 def token_counts_query(docs: DataFrame) -> DataFrame:

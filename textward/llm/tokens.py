@@ -19,8 +19,8 @@ import numpy as np
 BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Appended to each document by the packing and binary-output operators.
 END_ID = 2
-#: Pieces kept per worker and table; a table starts anew beyond it, so memory is bounded (about 130 MB each).
-PIECES_KEPT = 600_000
+#: Pieces kept per worker and table; a table starts anew beyond it, so memory is bounded (about 55 MB each).
+PIECES_KEPT = 250_000
 
 _PLAIN = "!-~¡-¬®-ɏ"
 #: A piece may be cut off only where printing characters stand on both sides.
