@@ -1,5 +1,6 @@
 """Exact dedup, quality rules, license scan and mixing on small tables: odd rows, and parameters that bite."""
 
+import hashlib
 import math
 
 import pytest
@@ -62,6 +63,20 @@ def test_boilerplate_is_removed_and_depleted_documents_go(spark):
     assert all(got[200 + k].kept for k in range(40))
 
 
+def test_lines_are_counted_by_documents_not_by_their_smallest_hash(spark):
+    key = lambda line: hashlib.md5(line.encode()).hexdigest()[:15]
+    letters = lambda k: "".join(chr(97 + int(c)) for c in f"{k:06d}")
+    own = [f"only here {letters(k)} " + " ".join(f"w{letters(100 * k + i)}" for i in range(60)) for k in range(30)]
+    # a shared line whose hash is below that of every own line
+    menu = next(m for m in (f"menu {letters(k)}" for k in range(10**6)) if key(m) < min(map(key, own)))
+    docs = spark.createDataFrame([(k, f"{menu}\n{x}", "site", 0, 0) for k, x in enumerate(own)], SCHEMA)
+    assert {r.boilerplate_chars for r in quality_rules(docs).collect()} == {len(menu)}
+    # 100 copies are one document of the host, too: 30 of 31 hold the shared line
+    copies = spark.createDataFrame([(1000 + k, "word " * 60, "site", 0, 0) for k in range(100)], SCHEMA)
+    got = quality_rules(docs.unionByName(copies), host_share=0.5).collect()
+    assert all(r.boilerplate_chars == (len(menu) if r.doc_id < 1000 else 0) for r in got)
+
+
 def test_license_scan(spark):
     notice = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"
     rows = [*ODD, (10, "The MIT-license. General Public LICENSE; mit license", "s", 0, 0), (11, notice.replace("free of charge", "wholly free of charge"), "s", 0, 0), (12, "mit.\nApache  License x general public notice", "s", 0, 0), (13, "éMIT license", "s", 0, 0)]

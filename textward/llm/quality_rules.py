@@ -1,8 +1,8 @@
 """Quality rules with cross-document line frequency. DataFrame operations only.
 
 One pass over the texts computes the base figures and each document's distinct normalised lines; the rest works on
-those. A line is boilerplate on a host when more of its documents hold it than the limits allow. Documents whose
-smallest line hash agrees count once: copies and near copies of one text would otherwise make its own lines look like
+those. A line is boilerplate on a host when more of its documents hold it than the limits allow. Documents with
+the same set of normalised lines count once: copies of one text would otherwise make its own lines look like
 boilerplate, and removing copies is another operator's work. A document that is mostly boilerplate is rejected.
 """
 
@@ -92,18 +92,18 @@ def quality_rules(
     base_failed, kept, line_chars (of normalised lines), boilerplate_chars (of those in lines above the limits).
 
     A line is above the limits on a host if more than least_documents and more than host_share of the host's documents
-    hold it (documents with the same smallest line hash count once). A document is rejected if it fails the base rules
+    hold it (on both sides documents with the same set of normalised lines count once). A document is rejected if it fails the base rules
     (fewer than least_words words, or over repeat_percent of them in repeated 3-word windows) or if more than
     depleted_share of its line characters are boilerplate. with_text adds clean_text: the text without its lines above
     the limits.
 
     Null text: no words, base_failed. Null host: a host of its own, shared with ''. Repeated rows are judged each and
     count as one document. Extra columns are ignored. An empty table gives no rows."""
-    figures = materialise(base_figures(docs, doc_col, text_col, host_col, with_text), "line-figures")
-    family = F.array_min(F.transform("lines", lambda x: x["key"]))
-    on_host = figures.where(F.size("lines") > 0).select("host", family.alias("family"), F.explode(F.array_distinct(F.transform("lines", lambda x: x["key"]))).alias("key"))
-    host_docs = figures.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    counted = on_host.groupBy("host", "key", "family").agg(F.lit(1)).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > least_documents)
+    keys = F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["key"])))
+    figures = materialise(base_figures(docs, doc_col, text_col, host_col, with_text).withColumn("line_set", line_key(F.array_join(keys.cast("array<string>"), ","))), "line-figures")
+    on_host = figures.where(F.size("lines") > 0).select("host", "line_set", F.explode(F.array_distinct(F.transform("lines", lambda x: x["key"]))).alias("key"))
+    host_docs = figures.groupBy("host", "line_set").agg(F.lit(1)).groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+    counted = on_host.groupBy("host", "key", "line_set").agg(F.lit(1)).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > least_documents)
     common = materialise(counted.join(host_docs, "host").where(F.col("n_docs") > host_share * F.col("host_docs")).select("host", "key"), "common-lines")
     lines = figures.select("row_id", "host", F.explode("lines").alias("line")).select("row_id", "host", "line.key", "line.chars")
     hit = lines.join(common, ["host", "key"], "left_semi").groupBy("row_id").agg(F.sum("chars").alias("hit"), *([F.collect_set("key").alias("hit_keys")] if with_text else []))
