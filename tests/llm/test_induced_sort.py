@@ -1,7 +1,10 @@
+import tracemalloc
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from textward.llm import induced_sort
 from textward.llm.induced_sort import DiskQueue, common_prefixes, suffix_array
 
 
@@ -35,3 +38,23 @@ def test_queue_spills(tmp_path):
     while q.peek():
         out.append(q.pop())
     assert sorted(out) == sorted(seen)
+
+
+def peak_of_sorting(n, folder):
+    t = np.random.default_rng(1).integers(0, 4, n).astype(np.uint8)
+    tracemalloc.start()
+    try:
+        sa = suffix_array(t, str(folder), held=1000)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    data = t.tobytes()
+    assert len(np.unique(sa)) == n and all(data[a : a + 50] <= data[b : b + 50] for a, b in zip(sa.tolist(), sa[1:].tolist(), strict=False))
+    return peak
+
+
+def test_memory_does_not_grow_with_the_text(tmp_path, monkeypatch):
+    for name, value in (("BLOCK", 1000), ("READ", 1000), ("AHEAD", 100)):
+        monkeypatch.setattr(induced_sort, name, value, raising=False)
+    small, large = (peak_of_sorting(n, tmp_path) for n in (20_000, 120_000))
+    assert large < 2 * small

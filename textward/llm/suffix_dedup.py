@@ -11,13 +11,16 @@ smallest document that has it.
 from __future__ import annotations
 
 import hashlib
+import tempfile
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .induced_sort import common_prefixes, suffix_array
+from .induced_sort import mapped, prefix_blocks, stored, suffix_array
 from .jaccard_join import mix
 from .shared import materialise
 
@@ -177,24 +180,53 @@ def settle(docs: DataFrame, length: int, anchor: int, buckets: int) -> DataFrame
     return materialise(sent.repartition(buckets, "bucket").mapInArrow(gather, SETTLED), "settled")
 
 
-def sort_shard(texts: list[bytes], least: list[int], length: int) -> list[list[tuple[int, int, int]]]:
-    """For each text of a shard, runs (start, stop, doc): every string of `length` bytes that begins in [start, stop)
-    has `doc` as its smallest document. Texts are closed by 0, which no byte is, and sorted together."""
-    t = np.concatenate([np.append(np.frombuffer(x, np.uint8).astype(np.int64) + 1, 0) for x in texts])
-    sizes = np.array([len(x) for x in texts])
-    begin = np.cumsum(sizes + 1) - sizes - 1
-    owner = np.repeat(np.arange(len(texts)), sizes + 1)
-    sa = suffix_array(t)
-    new = common_prefixes(t, sa, length) < length
-    smallest = np.minimum.reduceat(np.array(least, np.int64)[owner[sa]], np.flatnonzero(new))
-    doc_at = np.empty(len(t), np.int64)
-    doc_at[sa] = smallest[np.cumsum(new) - 1]
-    out = []
-    for at, size in zip(begin.tolist(), sizes.tolist(), strict=True):
-        docs = doc_at[at : at + size - length + 1]
+def sort_shard(rows: Iterable[tuple[int, int, int, bytes]], length: int, folder: str) -> Iterator[tuple[int, int, int, int, int]]:
+    """rows (anchor, content, least, text) of a shard, to runs (anchor, content, start, stop, doc): every string of
+    `length` bytes that begins in [start, stop) of the text has `doc` as its smallest document. Texts are closed by 0,
+    which no byte is (none is 255 in UTF-8), and sorted together. They, what belongs to them and all lists over their
+    bytes are files in folder."""
+    facts: list[list[int]] = []
+    end = 0
+
+    def symbols():
+        nonlocal end
+        for anchor, content, least, text in rows:
+            if len(text) >= length:
+                facts.append([anchor, content, least, end, len(text)])
+                end += len(text) + 1
+                yield np.append(np.frombuffer(text, np.uint8) + np.uint8(1), np.uint8(0))
+            if len(facts) >= 20_000:
+                np.array(facts, np.int64).tofile(spill)
+                facts.clear()
+
+    with tempfile.TemporaryFile(dir=folder) as spill:
+        t = stored(folder, symbols(), np.uint8)
+        if not len(t):
+            return
+        np.array(facts, np.int64).tofile(spill)
+        facts.clear()
+        spill.flush()
+        about = np.memmap(spill, np.int64, "r").reshape(-1, 5)
+    leasts, begins = (stored(folder, (about[at : at + BLOCK, c] for at in range(0, len(about), BLOCK))) for c in (2, 3))
+    sa = suffix_array(t, folder)
+    # the group of each suffix, numbered in order, and each group's smallest document
+    group, smallest, last = mapped(folder, len(t), np.int64), mapped(folder, len(t), np.int64), -1
+    for at, shared in prefix_blocks(t, sa, length):
+        new = shared < length
+        groups = last + np.cumsum(new)
+        docs = leasts[np.searchsorted(begins, at, "right") - 1]
+        first = np.flatnonzero(np.concatenate([[True], new[1:]]))
+        least = np.minimum.reduceat(docs, first)
+        if not new[0]:
+            least[0] = min(least[0], smallest[last])
+        smallest[groups[first]] = least
+        group[at] = groups
+        last = int(groups[-1])
+    for anchor, content, _, at, size in (x for k in range(0, len(about), 20_000) for x in about[k : k + 20_000].tolist()):
+        docs = smallest[group[at : at + size - length + 1]]
         edges = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1], [True]]))
-        out.append([(a, b, int(docs[a])) for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False)])
-    return out
+        for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False):
+            yield anchor, content, a, b, int(docs[a])
 
 
 def remove_spans(data: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[bytes, int, int]:
@@ -234,13 +266,11 @@ def suffix_dedup(docs: DataFrame, length: int = 50, anchor: int = 24, doc_col: s
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())], names=["anchor", "content", "least", "data"])
 
     def sort(batches):
-        held = [row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-        held = [r for r in held if len(r[3]) >= length]
-        if not held:
-            return
-        found = sort_shard([r[3] for r in held], [r[2] for r in held], length)
-        flat = [(r[0], r[1], a, b, doc) for r, runs in zip(held, found, strict=True) for a, b, doc in runs]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*flat, strict=True)], names=["anchor", "content", "first", "stop", "least"])
+        rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        with tempfile.TemporaryDirectory() as folder:
+            found = sort_shard(rows, length, folder)
+            while flat := list(islice(found, 20_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*flat, strict=True)], names=["anchor", "content", "first", "stop", "least"])
 
     fetched = texts.join(wanted, "doc").select("text", "wanted").mapInArrow(fetch, "anchor long, content long, least long, data binary").dropDuplicates(["anchor", "content"])
     verdicts = materialise(fetched.repartition("anchor").mapInArrow(sort, "anchor long, content long, first long, stop long, least long"), "verdicts")
