@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 
-from textward.llm.language_id import ByteNetwork, Settings, document_probabilities, identify, position_labels, windows_of
+from textward.llm.language_id import ByteNetwork, Settings, document_probabilities, identify, position_labels, training_windows, windows_of
 
 QUICK = Settings(sample_windows=1600, steps=150)
 
@@ -52,3 +52,10 @@ def test_odd_rows(spark):
     unlabelled = spark.createDataFrame([(1, "the of", None)], "doc_id long, text string, lang string")
     assert identify(unlabelled, QUICK).first().lang_pred == "und"
     assert identify(unlabelled.limit(0), QUICK).count() == 0
+
+
+def test_every_language_is_a_class(spark):
+    rows = [(k, f"text number {k}", f"l{k % 90:02d}") for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for windows in (6000, 10):
+        assert {lang for lang, _ in training_windows(docs, Settings(sample_windows=windows))} == {r[2] for r in rows}

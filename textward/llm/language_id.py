@@ -27,7 +27,6 @@ class Settings:
     window: int = 64
     sample_windows: int = 6000
     windows_per_document: int = 4
-    max_languages: int = 64
     steps: int = 200
     batch: int = 200
     rate: float = 0.02
@@ -236,18 +235,19 @@ def held_out(doc_id):
 
 
 def training_windows(docs: DataFrame, s: Settings) -> list[tuple[str, bytes]]:
-    """(lang, window) from documents with a language that are not held out: for each language an even share of
-    sample_windows, from documents chosen by hash over the whole table and at places over their whole texts."""
+    """(lang, window) from documents with a language that are not held out: for each language, however many there are,
+    an even share of sample_windows and one document at least, from documents chosen by hash over the whole table and
+    at places over their whole texts. Rows with a language's least-ranked doc_id are all read."""
     usable = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") > 0))
-    counts = usable.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(s.max_languages).collect()
+    rank = F.pmod(F.xxhash64("doc_id", F.lit(s.seed)), F.lit(1 << 30)) / float(1 << 30)
+    usable = usable.withColumn("rank", rank)
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first")).collect()
     if not counts:
         return []
     want = max(1, s.sample_windows // (len(counts) * s.windows_per_document))
-    share = F.lit(None).cast("double")
-    for r in counts:
-        share = F.when(F.col("lang") == r.lang, F.lit(1.2 * want / r["count"])).otherwise(share)
-    rank = F.pmod(F.xxhash64("doc_id", F.lit(s.seed)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = usable.withColumn("rank", rank).where(F.col("rank") < share).select("lang", "rank", "text")
+    # every language has a document in it, the one with the least rank at least
+    shares = docs.sparkSession.createDataFrame([(r.lang, 1.2 * want / r.n, r.first) for r in counts], "lang string, share double, first double")
+    chosen = usable.join(F.broadcast(shares), "lang").where((F.col("rank") < F.col("share")) | (F.col("rank") <= F.col("first"))).select("lang", "rank", "text")
     size, each, seed = s.window, s.windows_per_document, s.seed
 
     def cut(batches):
