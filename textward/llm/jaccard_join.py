@@ -3,30 +3,36 @@
 Sets of similar size share a layout, which hashes the universe of n-grams into segments. Two sets that link differ in
 at most H of their elements, so of more than H segments some agree whole; of half as many, some differ by one element
 at most and meet in a one-deletion neighbour. Each layout takes whichever of the two allocations costs less, with a few
-spare segments. Spare segments make empty, small and very frequent segments needless for a set that has no more of
-them than spares; only pairs of sets that both have more are sought by their least elements (prefix filter) and inside
-frequent groups. Candidates are verified exactly.
-
-Equal sets are one class and joined once. Inside a key's group candidates are a star around its least member; once its
-links are known, only members still in different components meet. Nothing is capped.
+spare segments. Spare segments make empty and small segments needless for a set that has no more of them than spares;
+pairs of sets that both have more meet by their least elements (prefix filter). Candidates are verified exactly.
+
+Equal sets are one node and joined once. A group of nodes with one key is a star around the member that meets most
+others. A group that its star leaves in several components is taken apart by its members' differences from the centre:
+two sets that link share more than half of them (`centre_keys`), so they meet again under those elements, in smaller
+groups with centres of their own, and so on until no group lies in several components. Work is in proportion to the
+sizes of the groups, never to the pairs in them, and nothing is capped.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialise
+from .shared import discard, materialise
 
 U64 = np.uint64
-#: Keys of a group above which it counts as frequent.
-FREQUENT = 64
+#: Keys sent at a time, sets of one sending from which on a key counts as frequent, and keys a bucket is meant to hold.
+FLUSH, OFTEN, KEYS_A_BUCKET = 1_000_000, 16, 2_000_000
+#: Ways in which a set takes part in a group of a later round.
+ROLES = ["linked", "apart", "rest", "far"]
 #: Parts of the universe whose sizes bound a difference from below.
 PARTS = 96
 #: Sets are smaller than this.
@@ -146,21 +152,28 @@ def layout_keys(u: np.ndarray, layout: Layout, percent: int) -> tuple[np.ndarray
     return keys, weak, mix(u[:length] ^ salt[0] ^ U64(0xA5A5A5A5A5A5A5A5))
 
 
+def digest(u: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, as two signed longs."""
+    one, two = mix(u).sum(dtype=U64), (mix(u ^ U64(0x7F4A7C15)) | U64(1)).sum(dtype=U64)
+    return int(one.astype(np.int64)), int(two.astype(np.int64))
+
+
 def _sets(batches, size: int):
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             yield doc, shingle_set((text or "").encode(), size)
 
 
-def set_classes(docs: DataFrame, size: int) -> DataFrame:
-    """doc, n (size of its set), class (least doc with the same set; null for the empty set) and parts (the set's sizes
-    in PARTS parts of the universe: two sets differ in at least the sum of the differences of their parts)."""
+def describe_sets(rows: DataFrame, size: int) -> DataFrame:
+    """rows(doc, text) to row (a number of its own), doc, n (size of its set), k1 and k2 (digest of the set) and parts
+    (the set's sizes in PARTS parts of the universe: two sets differ in at least the sum of the differences of their
+    parts)."""
 
     def describe(batches):
         out: list[list] = [[], [], [], [], []]
         for doc, u in _sets(batches, size):
             parts = np.bincount((mix(u) >> U64(32)).astype(np.int64) % PARTS, minlength=PARTS)
-            for column, value in zip(out, (doc, len(u), int(mix(u).sum(dtype=U64)), int((mix(u ^ U64(0x7F4A7C15)) | U64(1)).sum(dtype=U64)), parts), strict=True):
+            for column, value in zip(out, (doc, len(u), *digest(u), parts.astype(np.int32)), strict=True):
                 column.append(value)
             if len(out[0]) >= 4096:
                 yield _batch(out)
@@ -168,45 +181,53 @@ def set_classes(docs: DataFrame, size: int) -> DataFrame:
         yield _batch(out)
 
     def _batch(out):
-        columns = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())] + [pa.array(np.array(c, U64).astype(np.int64)) for c in out[2:4]]
-        columns.append(pa.array([p.astype(np.int32) for p in out[4]], pa.list_(pa.int32())))
+        columns = [pa.array(c, pa.int64()) for c in out[:4]] + [pa.array(out[4], pa.list_(pa.int32()))]
         return pa.RecordBatch.from_arrays(columns, names=["doc", "n", "k1", "k2", "parts"])
 
-    rows = materialise(docs.mapInArrow(describe, "doc long, n long, k1 long, k2 long, parts array<int>"), "sets")
-    least = materialise(rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc").alias("class")), "set-classes")
-    return materialise(rows.join(least, ["k1", "k2", "n"], "left").select("doc", "n", "class", "parts"), "set-of")
+    described = rows.mapInArrow(describe, "doc long, n long, k1 long, k2 long, parts array<int>")
+    return materialise(described.select(F.monotonically_increasing_id().alias("row"), "*"), "sets")
 
 
-def key_groups(docs: DataFrame, size: int, bands: Bands, buckets: int) -> DataFrame:
-    """Candidates and groups, from keys gathered by bucket: kind 'pair' (a, b: a star in each group) and 'more' (a: doc,
-    key, layout: groups of three and more, for members that the star leaves apart; weak: segments of the document in
-    that layout that have no key to rely on; frequent: a group above FREQUENT).
+def key_groups(rows: DataFrame, size: int, bands: Bands, buckets: int) -> DataFrame:
+    """key, k1 of every key that more than one distinct set has, once for each set.
 
-    Keys travel as arrays, a few bytes each; copies met in one batch are sent once."""
+    Keys travel as arrays by bucket of the key, copies met in one batch once. A key that OFTEN or more sets of one
+    batch have is known to be shared: its rows go to buckets of their own by batch, and only one of them to the key's
+    bucket, so no bucket receives a frequent key's rows. A bucket's task holds one entry for each key and set."""
 
     def send(batches):
-        held_keys, held_docs, held_layouts, count = [], [], [], 0
-        seen: dict[bytes, int] = {}
+        held_keys, held_owners, count, flushed = [], [], 0, 0
+        seen: set[tuple[int, int]] = set()
 
         def flush():
-            keys, owners, layouts = np.concatenate(held_keys), np.concatenate(held_docs), np.concatenate(held_layouts)
-            bucket = (keys >> U64(40)) % U64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=U64))
-            rows = [(k, order[a:b]) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
-            held_keys.clear(), held_docs.clear(), held_layouts.clear(), seen.clear()
+            nonlocal flushed
+            keys, owners = np.concatenate(held_keys), np.concatenate(held_owners)
+            held_keys.clear(), held_owners.clear(), seen.clear()
+            keys, owners = keys[order := np.argsort(keys, kind="stable")], owners[order]
+            first = np.concatenate([[True], keys[1:] != keys[:-1]])
+            often = np.repeat(counts := np.diff(np.append(np.flatnonzero(first), len(keys))), counts) >= OFTEN
+            flushed += 1
+            home = (keys >> U64(40)) % U64(buckets)
+            away = mix(keys ^ mix(np.array([TaskContext.get().partitionId() << 20 | flushed], U64))) % U64(buckets)
+            normal = ~often | first
+            out = []
+            for chosen, bucket, shared in ((normal, home, False), (often & ~first, away, True)):
+                at = np.flatnonzero(chosen)
+                at = at[np.argsort(bucket[at], kind="stable")]
+                cuts = np.searchsorted(bucket[at], np.arange(buckets + 1, dtype=U64))
+                out += [(k, shared, at[a:b]) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
             return pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _ in rows], pa.int32()), *(pa.array([x[o].tobytes() for _, o in rows], pa.binary()) for x in (keys, owners, layouts))],
-                names=["bucket", "keys", "docs", "layouts"],
+                [pa.array([k for k, _, _ in out], pa.int32()), pa.array([x for _, x, _ in out], pa.bool_()), *(pa.array([x[o].tobytes() for _, _, o in out], pa.binary()) for x in (keys, owners))],
+                names=["bucket", "shared", "keys", "owners"],
             )
 
-        for doc, u in _sets(batches, size):
-            if not len(u) or doc is None:
+        for _, u in _sets(batches, size):
+            if not len(u):
                 continue
-            mark = u.tobytes() if len(u) < 8 else mix(u).sum(dtype=U64).tobytes() + u[:4].tobytes()
-            if mark in seen:
+            owner = digest(u)
+            if owner in seen:
                 continue
-            seen[mark] = doc
+            seen.add(owner)
             own = bands.band(len(u))
             for number in (own, own + 1):
                 layout = bands.layout(number)
@@ -214,127 +235,216 @@ def key_groups(docs: DataFrame, size: int, bands: Bands, buckets: int) -> DataFr
                 if weak > layout.spare:
                     keys = np.concatenate([keys, prefix])
                 held_keys.append(keys)
-                held_docs.append(np.full(len(keys), doc, np.int64))
-                held_layouts.append(np.full(len(keys), number | min(weak, 255) << 8, np.uint16))
+                held_owners.append(np.full(len(keys), owner[0], np.int64))
                 count += len(keys)
-            if count >= 1_000_000:
+            if count >= FLUSH:
                 yield flush()
                 count = 0
         if held_keys:
             yield flush()
 
     def gather(batches):
-        parts = [(k.as_py(), d.as_py(), lay.as_py()) for b in batches for k, d, lay in zip(b.column(1), b.column(2), b.column(3), strict=True)]
+        parts = []
+        for b in batches:
+            for shared, keys, owners in zip(*(b.column(k) for k in (1, 2, 3)), strict=True):
+                pair = np.frombuffer(keys.as_py(), np.int64), np.frombuffer(owners.as_py(), np.int64)
+                if shared.as_py():
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in pair], names=["key", "k1"])
+                else:
+                    parts.append(pair)
         if not parts:
             return
-        keys = np.frombuffer(b"".join(p[0] for p in parts), U64)
-        owners = np.frombuffer(b"".join(p[1] for p in parts), np.int64)
-        layouts = np.frombuffer(b"".join(p[2] for p in parts), np.uint16)
-        del parts
+        keys, owners = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        parts.clear()
         order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        same = np.concatenate([[False], keys[1:] == keys[:-1]])
-        grouped = same | np.concatenate([same[1:], [False]])
-        keys, owners, layouts, first = keys[grouped], owners[order][grouped], layouts[order][grouped], ~same[grouped]
-        if not len(keys):
-            return
-        starts = np.flatnonzero(first)
-        sizes = np.diff(np.append(starts, len(keys)))
-        centre = np.repeat(np.minimum.reduceat(owners, starts), sizes)
-        pairs = np.unique(np.stack([centre, owners], axis=1)[centre != owners], axis=0)
-        many = np.repeat(sizes > 2, sizes)
-        frequent = np.repeat(sizes > FREQUENT, sizes)[many]
-        yield _rows("pair", pairs[:, 0], pairs[:, 1], None, None, None)
-        yield _rows("more", owners[many], None, keys[many].astype(np.int64), layouts[many], frequent)
-
-    def _rows(kind, a, b, key, layout, frequent):
-        n = len(a)
-        nothing = lambda t: pa.nulls(n, t)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([kind] * n, pa.string()),
-                pa.array(a),
-                nothing(pa.int64()) if b is None else pa.array(b),
-                nothing(pa.int64()) if key is None else pa.array(key),
-                nothing(pa.int32()) if layout is None else pa.array((layout & 255).astype(np.int32)),
-                nothing(pa.int32()) if layout is None else pa.array((layout >> 8).astype(np.int32)),
-                nothing(pa.bool_()) if frequent is None else pa.array(frequent),
-            ],
-            names=["kind", "a", "b", "key", "layout", "weak", "frequent"],
-        )
-
-    sent = docs.mapInArrow(send, "bucket int, keys binary, docs binary, layouts binary")
-    gathered = sent.repartition(buckets, "bucket").mapInArrow(gather, "kind string, a long, b long, key long, layout int, weak int, frequent boolean")
+        same = keys[order[1:]] == keys[order[:-1]]
+        order = order[np.append(same, False) | np.insert(same, 0, False)]
+        keys, owners = keys[order], owners[order]
+        order = np.lexsort((owners, keys))
+        keys, owners = keys[order], owners[order]
+        new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])]) if len(keys) else np.zeros(0, bool)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[new]), pa.array(owners[new])], names=["key", "k1"])
+
+    sent = rows.mapInArrow(send, "bucket int, shared boolean, keys binary, owners binary")
+    gathered = sent.repartition(buckets, "bucket").mapInArrow(gather, "key long, k1 long")
     return materialise(gathered, "key-groups")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs(a, b) of classes whose sets link; sizes(doc, n, parts). Sizes and parts come first and drop most of those that
-    do not link, exactly; the sets of the others are compared."""
-    of_a, of_b = (sizes.select(F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("parts").alias(f"p{c}")) for c in "ab")
-    sized = pairs.join(of_a, "a").join(of_b, "b").where(F.col("na") * 100 >= F.col("nb") * percent).where(F.col("nb") * 100 >= F.col("na") * percent)
-    differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.abs(x - y)), F.lit(0), lambda acc, x: acc + x)
-    sized = materialise(sized.where((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb"), "pairs")
-    involved = sized.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+def fetch_sets(nodes: DataFrame, known: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """node and its set u, for nodes(node) described in known(node, doc, n, k1, k2): the rows(doc, text) with their
+    doc ids are read, and of those sets the ones with their digests kept."""
+    wanted = known.join(nodes, "node", "left_semi").select("node", "doc", "n", "k1", "k2")
 
     def build(batches):
         for doc, u in _sets(batches, size):
-            yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([u.astype(np.int64)], pa.list_(pa.int64()))], names=["doc", "u"])
+            one, two = digest(u)
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array([x], pa.int64()) for x in (doc, len(u), one, two)), pa.array([u.astype(np.int64)], pa.list_(pa.int64()))], names=["doc", "n", "k1", "k2", "u"]
+            )
+
+    built = rows.join(wanted.select("doc").distinct(), "doc", "left_semi").mapInArrow(build, "doc long, n long, k1 long, k2 long, u array<long>")
+    found = built.join(wanted, ["doc", "n", "k1", "k2"]).groupBy("node").agg(F.first("u").alias("u"))
+    return materialise(found, "pair-sets")
+
 
-    sets = materialise(docs.join(involved, "doc", "left_semi").mapInArrow(build, "doc long, u array<long>"), "pair-sets")
-    left, right = sets.select(F.col("doc").alias("a"), F.col("u").alias("ua")), sets.select(F.col("doc").alias("b"), F.col("u").alias("ub"))
+def links_of(pairs: DataFrame, known: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Those of pairs(a, b) that link. Sizes and parts drop most others, exactly; the sets of the rest are compared."""
+    of_a, of_b = (known.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("parts").alias(f"p{c}")) for c in "ab")
+    sized = pairs.join(of_a, "a").join(of_b, "b").where(F.col("na") * 100 >= F.col("nb") * percent).where(F.col("nb") * 100 >= F.col("na") * percent)
+    differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.abs(x - y)), F.lit(0), lambda acc, x: acc + x)
+    sized = materialise(sized.where((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb"), "pairs")
+    found = sets(sized.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    left, right = (found.select(F.col("node").alias(c), F.col("u").alias(f"u{c}")) for c in "ab")
     shared = F.size(F.array_intersect("ua", "ub"))
-    return sized.join(right, "b").join(left, "a").where(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b")
+    out = sized.join(right, "b").join(left, "a").where(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b")
+    out = materialise(out, "links")
+    discard(sized, found)
+    return out
+
+
+def centre_keys(c: np.ndarray, x: np.ndarray, linked: bool, percent: int) -> list[tuple[str, np.ndarray]]:
+    """Elements under which x must meet every set y of the pool of centre c that it links with, unless both link with c.
+    A role and elements; what pairs of roles count is said in `far_groups`.
+
+    Elements outside c come first, then those of c, each by value. Let dx and dy be the differences of x and y from c:
+    they share (|dx| + |dy| - |x ^ y|) / 2 elements, and where y does not link with c, |dy| is beyond the bound of a
+    link. That gives a least overlap, so the first elements of dx up to it hold a shared one ('linked' and 'apart');
+    where only y is apart, that one may stand anywhere in dy ('rest'). Sets far from c meet by the first elements of
+    x itself, of which a link leaves at most 100 - percent of 100 unshared ('far'); as differences of linked sets
+    from c are close, those near the limit between near and far get both."""
+    out, common = [], np.isin(x, c, assume_unique=True)
+    own, gone, n, k = x[~common], c[~np.isin(c, x, assume_unique=True)], len(x), len(c)
+    difference, limit = len(own) + len(gone), k // 2
+    if difference <= limit:
+        ordered = np.concatenate([own, gone])
+        least = -(-((100 + percent) * difference + (100 - percent) * (k - n) + 1) // (2 * (100 + percent)))
+        prefix = difference - least + 1
+        out.append(("linked" if linked else "apart", ordered[:prefix]))
+        if not linked:
+            out.append(("rest", ordered[prefix:]))
+    most = (100 - percent) * (n + 100 * n // percent) // (100 + percent)
+    if difference > limit - most:
+        out.append(("far", np.concatenate([own, x[common]])[: n + (-percent * n // 100) + 1]))
+    return out
+
+
+def far_groups(pools: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """key, node: the groups of the next round, for pools(centre, node, linked)."""
+    centres, members = sets.select(F.col("node").alias("centre"), F.col("u").alias("uc")), sets.select("node", "u")
+    joined = pools.join(members, "node").join(centres, "centre").select("centre", "node", "linked", "uc", "u")
+
+    def emit(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                lists = [part.column(k).combine_chunks() if isinstance(part.column(k), pa.ChunkedArray) else part.column(k) for k in (3, 4)]
+                keys, nodes, roles = [], [], []
+                for centre, node, linked, c, x in zip(*(part.column(k).to_pylist() for k in range(3)), *lists, strict=True):
+                    c, x = (np.asarray(v.values, np.int64).view(U64) for v in (c, x))
+                    salt = mix(np.array([centre], np.int64).view(U64))
+                    for role, elements in centre_keys(c, x, linked, percent):
+                        system = U64(0x6A09E667F3BCC908) if role == "far" else U64(0)
+                        keys.append(mix(elements ^ mix(salt ^ system)))
+                        nodes.append(np.full(len(elements), node, np.int64))
+                        roles.append(np.full(len(elements), ROLES.index(role), np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in ([k.view(np.int64) for k in keys], nodes, roles)] if keys else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int32())], names=["key", "node", "role"])
+
+    rows = materialise(joined.mapInArrow(emit, "key long, node long, role int"), "centre-keys")
+    count = lambda role: F.count_if(F.col("role") == ROLES.index(role))
+    kept = rows.groupBy("key").agg(count("linked").alias("linked"), count("apart").alias("apart"), count("rest").alias("rest"), count("far").alias("far"))
+    kept = kept.where("far > 1 OR apart > 1 OR (linked > 0 AND apart + rest > 0)").select("key", "linked")
+    # 'rest' is there for linked sets only
+    out = rows.join(kept, "key").where((F.col("role") != ROLES.index("rest")) | (F.col("linked") > 0)).select("key", "node").distinct()
+    out = materialise(out, "groups")
+    discard(rows)
+    return out
 
 
 def jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
+    """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included),
+    kept (true for one row of each component, the first with that doc_id, and for every row that links with nothing).
 
     Documents link when 100 * |intersection| >= percent * |union| of their sets of `size`-word shingles; a shorter text
-    is one shingle of all its words. Null and texts without words have empty sets and link with nothing. Rows that
-    repeat a doc_id have the component of any of them and one n_shingles each; a null doc_id links with nothing and has
-    a null component. Extra columns are ignored. An empty table gives no rows."""
-    spark = docs.sparkSession
-    bands = Bands(percent)
+    is one shingle of all its words. Shingles are compared by 64-bit hashes and equal sets are told by 128 bits; with
+    those, the result is exact. Null and texts without words have empty sets and link with nothing. Rows that repeat a
+    doc_id are sets of their own, and each row has its own set's size and component; a null doc_id links with nothing
+    and has a null component. Extra columns are ignored. An empty table gives no rows."""
+    spark, bands = docs.sparkSession, Bands(percent)
     rows = docs.select(F.col(doc_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    classes = set_classes(rows, size)
+    described = describe_sets(rows, size)
     texts = rows.where("doc IS NOT NULL")
-    class_of = classes.where("class IS NOT NULL").select("doc", "class").distinct()
-    sizes = classes.where("doc = class").select("doc", "n", "parts").dropDuplicates(["doc", "n"])
-    groups = key_groups(texts, size, bands, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-    def by_class(df: DataFrame, *columns: str) -> DataFrame:
-        for c in columns:
-            df = df.join(class_of.select(F.col("doc").alias(c), F.col("class").alias(f"{c}_class")), c).drop(c).withColumnRenamed(f"{c}_class", c)
-        return df
-
-    pairs = by_class(groups.where("kind = 'pair'").select("a", "b"), "a", "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = materialise(verify(pairs, texts, sizes, size, percent), "links")
-    found = components(links)
-
-    # a set with no more weak and frequent keys in a layout than spares meets its partners under other keys
-    spares = F.array(*[F.lit(bands.layout(k).spare) for k in range(bands.band(LARGEST) + 2)])
-    more = groups.where("kind = 'more'")
-    needed = more.where("frequent").groupBy("a", "layout").agg((F.count(F.lit(1)) + F.max("weak")).alias("lost"))
-    needed = needed.where(F.col("lost") > F.get(spares, F.col("layout"))).select("a", "layout")
-    more = more.where("NOT frequent").select("a", "key").unionByName(more.where("frequent").join(needed, ["a", "layout"], "left_semi").select("a", "key"))
-    more = by_class(more, "a").distinct()
-    more = more.join(found, F.col("a") == F.col("node"), "left").select("a", "key", F.coalesce("component", "a").alias("component"))
-    split = more.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    apart = materialise(more.join(split, "key"), "apart")
-    one, other = apart.select("key", "a", F.col("component").alias("ca")), apart.select("key", F.col("a").alias("b"), F.col("component").alias("cb"))
-    rest = one.join(other, "key").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = rest.join(pairs, ["a", "b"], "left_anti")
-    more_links = verify(rest, texts, sizes, size, percent)
-    joined = components(materialise(links.unionByName(more_links), "all-links"))
-
-    of_doc = classes.join(joined, F.col("class") == F.col("node"), "left")
-    return of_doc.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "class", "doc").alias("component_id"))
+    with_set = described.where("n > 0 AND doc IS NOT NULL")
+    # a node stands for all equal sets; it is the number of the first row with the least doc_id
+    first = F.min_by(F.struct("row", "doc", "parts"), F.struct("doc", "row"))
+    known = with_set.groupBy("k1", "k2", "n").agg(first.alias("first")).select(F.col("first.row").alias("node"), F.col("first.doc").alias("doc"), "n", "k1", "k2", "first.parts")
+    known = materialise(known, "nodes")
+    expected = with_set.agg(F.sum(F.col("n") * (2 * (100 - percent) / (100 + percent)) + 12)).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * expected / KEYS_A_BUCKET))
+    by_digest = key_groups(texts, size, bands, buckets)
+    groups = materialise(by_digest.join(known.select("k1", "node"), "k1").select("key", "node").distinct(), "groups")
+    discard(by_digest)
+
+    def sets(nodes: DataFrame) -> DataFrame:
+        return fetch_sets(nodes, known, texts, size)
+
+    component = materialise(known.select("node", F.col("node").alias("component")).limit(0), "component")
+    done = None
+    while True:
+        # groups that lie in one component have nothing left to find
+        placed = groups.join(component, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        live = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")).where("low < high").select("key", "members")
+        members = materialise(groups.join(live, "key"), "members")
+        if members.isEmpty():
+            break
+        # the centre of a group is its member that meets most others: of a flood, what its copies were made from
+        meets = members.groupBy("node").agg(F.sum("members").alias("meets"))
+        centres = members.join(meets, "node").groupBy("key").agg(F.max_by("node", F.struct("meets", -F.col("node"))).alias("centre"))
+        centred = materialise(members.join(centres, "key").where("node <> centre").select("key", "centre", "node"), "centred")
+        pairs = centred.select("centre", "node").distinct()
+        if done is not None:
+            pairs = pairs.join(done, ["centre", "node"], "left_anti")
+        pairs = materialise(pairs, "stars")
+        links = links_of(pairs.select(F.col("centre").alias("a"), F.col("node").alias("b")), known, sets, percent)
+        component = joined_components(component, links)
+        # pools: members of groups that still lie in several components, under centres that are new to one of them
+        placed = groups.join(live.select("key"), "key", "left_semi").join(component, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
+        apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+        pools = centred.join(apart, "key", "left_semi").select("centre", "node").distinct()
+        new_centres = pools.join(pairs, ["centre", "node"], "left_semi").select("centre").distinct()
+        linked = links.select(F.col("a").alias("centre"), F.col("b").alias("node"), F.lit(True).alias("linked"))
+        if done is not None:
+            linked = linked.unionByName(done.where("linked").select("centre", "node", "linked"))
+        pools = pools.join(new_centres, "centre", "left_semi").join(linked, ["centre", "node"], "left").select("centre", "node", F.coalesce("linked", F.lit(False)).alias("linked"))
+        pools = materialise(pools, "pools")
+        pooled = sets(pools.select(F.explode(F.array("centre", "node")).alias("node")).distinct())
+        following = far_groups(pools, pooled, percent)
+        marked = pairs.join(links.select(F.col("a").alias("centre"), F.col("b").alias("node"), F.lit(True).alias("linked")), ["centre", "node"], "left").select("centre", "node", F.coalesce("linked", F.lit(False)).alias("linked"))
+        done = materialise(marked if done is None else done.unionByName(marked), "done")
+        discard(groups, members, centred, pairs, links, pools, pooled)
+        groups = following
+
+    # the label is the smallest doc_id; of the rows of that set with that doc_id the first is kept
+    labelled = known.select("node", "doc").join(component, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
+    labels = labelled.groupBy("component").agg(F.min("doc").alias("component_id"), F.min_by("node", F.struct("doc", "node")).alias("keeper"))
+    of_node = materialise(known.select("node", "k1", "k2", "n").join(labelled.select("node", "component"), "node").join(labels, "component").select("k1", "k2", "n", "component_id", "keeper"), "labels")
+    some = with_set.select("row", "doc", "n", "k1", "k2").join(of_node, ["k1", "k2", "n"]).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", (F.col("row") == F.col("keeper")).alias("kept"))
+    none = described.where("n = 0 OR doc IS NULL").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("doc").alias("component_id"), F.lit(True).alias("kept"))
+    return some.unionByName(none)
+
+
+def joined_components(component: DataFrame, links: DataFrame) -> DataFrame:
+    """component(node, component) with links(a, b) between nodes added. Nodes without a link are not in it."""
+    of = lambda c: component.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
+    edges = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b")).distinct()
+    merged = components(edges)
+    renamed = merged.select(F.col("node").alias("component"), F.col("component").alias("now"))
+    kept = component.join(renamed, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    return materialise(kept.unionByName(merged).distinct(), "component")
 
 
 def jaccard_join_query(docs: DataFrame) -> DataFrame:
     """Contract of op10."""
-    return jaccard_join(docs)
+    return jaccard_join(docs).drop("kept")
 
 
 JACCARD_JOIN_SQL = r"""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -14,23 +13,48 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\x0c\r"
 
 
+#: Scratch paths of this driver that still exist, in the order of their making, and the session of each.
+_PATHS: dict[str, SparkSession] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where the session has none (tests), one of our own."""
+    """The folder in spark.checkpoint.dir. Only a session on one machine (local master) may have none: it gets one
+    under its warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="textward-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir')}/textward-scratch"
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
+    """A new path in the shared folder, removed by release() or when the driver ends."""
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    _PATHS[path] = spark
     return path
 
 
+def mark() -> int:
+    """A point in time for release()."""
+    return len(_PATHS)
+
+
+def release(since: int = 0) -> None:
+    """Remove the scratch paths made since mark() gave `since`. Frames that still read them can no longer run."""
+    for path in list(_PATHS)[since:]:
+        _remove(_PATHS.pop(path), path)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove the tables behind frames that materialise() returned and that nothing reads any more."""
+    for path in {p for f in frames for p in getattr(f, "_scratch_paths", ())}:
+        if path in _PATHS:
+            _remove(_PATHS.pop(path), path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -39,13 +63,18 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+atexit.register(release)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors, and fixes
     what monotonically_increasing_id() gave."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_paths = (path,)
+    return out
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
