@@ -114,3 +114,17 @@ def test_mixed_rows(spark):
     got = mixed(docs).collect()
     assert {r.doc_id for r in got} == {r[0] for r in ODD} and got[0].__fields__[:5] == ["doc_id", "text", "source", "digest", "block"]
     assert mixed(docs.limit(0)).count() == 0
+    assert len(got) >= len(ODD)
+    with pytest.raises(ValueError):
+        mixed(docs.withColumnRenamed("block", "mix_pass"))
+
+
+def test_rarely_shared_smallest_hash(spark):
+    """12 hosts of 200 pages, each with the host's menu of 20 lines and one line of its own: the menus go from every page."""
+    letters = lambda k: "".join(chr(97 + int(c)) for c in f"{k:04d}")
+    rows = []
+    for h in range(12):
+        menu = "\n".join(f"entry {letters(k)} of {letters(h)}" for k in range(20))
+        rows += [(1000 * h + k, f"{menu}\nown {letters(h)} {letters(k)}", f"h{h}", 0, 0) for k in range(200)]
+    got = quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == 2400 and all(r.removed_lines == 20 and r.boilerplate_chars == 20 * len("entry aaaa of aaaa") for r in got)

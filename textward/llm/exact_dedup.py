@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import WHITE, materialise, scratch
+from .shared import WHITE, materialise, row_numbers, scratch
 
 INDEX = "digest string, keep_row long, keep_id long, group_size long"
 
@@ -21,11 +21,11 @@ def without_white(text):
     return F.translate(F.coalesce(text, F.lit("")), WHITE, "")
 
 
-def digests(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """row_id, doc_id, digest (SHA-256 of the text without white space) and n_chars, kept in the shared folder."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row_id"),
+        row_numbers(row_col).alias("row_id"),
         F.col(doc_col).cast("long").alias("doc_id"),
         F.sha2(without_white(F.col(text_col)), 256).alias("digest"),
         F.length(text).cast("long").alias("n_chars"),
@@ -47,6 +47,10 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
+    def close(self) -> None:
+        """Forget the table's name; its files stay. Frames made before go on reading them."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
     def ingest(self, batch: DataFrame) -> DataFrame:
         """Append the digests of batch (from digests()) that the index has not seen, and return the index. Of a new
         digest the row with the most characters stays, then the smallest doc_id (null last), then the first row."""
@@ -70,14 +74,14 @@ def with_groups(batch: DataFrame, index: DataFrame, hot: int) -> DataFrame:
     return known.unionByName(rest.join(few, F.col("digest") == F.col("index_digest"))).drop("index_digest")
 
 
-def exact_dedup(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: row_id, doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row per row of docs: row_id (row_col, if given), doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical without ASCII white space; null and empty texts form one group. Repeated rows count
     in group_size and one of them is kept. A null doc_id is kept only if no other row ties with it. Extra columns are
     ignored. An empty table gives no rows. At most 10,000 digests are broadcast, whatever the input."""
     spark = docs.sparkSession
-    batch = digests(docs, doc_col, text_col)
+    batch = digests(docs, doc_col, text_col, row_col)
     index = DigestIndex(spark, scratch(spark, "digest-index"), int(spark.conf.get("spark.sql.shuffle.partitions")))
     index.ingest(batch)
     hot = max(64, batch.count() // 10_000)

@@ -8,9 +8,9 @@ pairs of sets that both have more meet by their least elements (prefix filter).
 
 Equal sets are one node and joined once. A group of nodes with one key is a star around the member that meets most
 others. A group that its star leaves in several components is taken apart by its members' differences from the centre:
-two sets that link share more than half of them (`centre_keys`), so they meet again under those elements, in smaller
-groups with centres of their own, and so on until no group lies in several components. Work is in proportion to the
-sizes of the groups, never to the pairs in them, and nothing is capped.
+two sets that link share more than half of them (`centre_keys`), so they meet again under those elements. Of these
+smaller groups those with few members are compared in memory, the others get centres of their own, and so on until no
+group lies in several components. No group's pairs are ever listed, and nothing is capped.
 """
 
 from __future__ import annotations
@@ -26,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import discard, materialise
+from .shared import discard, materialise, row_numbers
 
 U64 = np.uint64
 #: Keys sent at a time, sets of one sending from which on a key counts as frequent, and keys a bucket is meant to hold.
 FLUSH, OFTEN, KEYS_A_BUCKET = 1_000_000, 16, 2_000_000
+#: Groups of a later round with so many members at most are compared in memory; larger ones get centres of their own.
+COMPARED = 256
 #: Ways in which a set takes part in a group of a later round.
 ROLES = ["linked", "apart", "rest", "far"]
 #: Parts of the universe whose sizes bound a difference from below.
@@ -165,27 +167,23 @@ def _sets(batches, size: int):
 
 
 def describe_sets(rows: DataFrame, size: int) -> DataFrame:
-    """rows(doc, text) to row (a number of its own), doc, n (size of its set), k1 and k2 (digest of the set) and parts
+    """rows(row, doc, text) to row, doc, n (size of its set), k1 and k2 (digest of the set) and parts
     (the set's sizes in PARTS parts of the universe: two sets differ in at least the sum of the differences of their
     parts)."""
 
     def describe(batches):
-        out: list[list] = [[], [], [], [], []]
-        for doc, u in _sets(batches, size):
-            parts = np.bincount((mix(u) >> U64(32)).astype(np.int64) % PARTS, minlength=PARTS)
-            for column, value in zip(out, (doc, len(u), *digest(u), parts.astype(np.int32)), strict=True):
-                column.append(value)
-            if len(out[0]) >= 4096:
-                yield _batch(out)
-                out = [[], [], [], [], []]
-        yield _batch(out)
-
-    def _batch(out):
-        columns = [pa.array(c, pa.int64()) for c in out[:4]] + [pa.array(out[4], pa.list_(pa.int32()))]
-        return pa.RecordBatch.from_arrays(columns, names=["doc", "n", "k1", "k2", "parts"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                out: list[list] = [[], [], [], []]
+                for _, u in _sets([part.select(["doc", "text"])], size):
+                    parts = np.bincount((mix(u) >> U64(32)).astype(np.int64) % PARTS, minlength=PARTS)
+                    for column, value in zip(out, (len(u), *digest(u), parts.astype(np.int32)), strict=True):
+                        column.append(value)
+                columns = [part.column("row"), part.column("doc"), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc", "n", "k1", "k2", "parts"])
 
-    described = rows.mapInArrow(describe, "doc long, n long, k1 long, k2 long, parts array<int>")
-    return materialise(described.select(F.monotonically_increasing_id().alias("row"), "*"), "sets")
+    return materialise(rows.select("row", "doc", "text").mapInArrow(describe, "row long, doc long, n long, k1 long, k2 long, parts array<int>"), "sets")
 
 
 def key_groups(rows: DataFrame, size: int, bands: Bands, buckets: int) -> DataFrame:
@@ -304,7 +302,7 @@ def links_of(pairs: DataFrame, known: DataFrame, sets: Callable[[DataFrame], Dat
 
 def centre_keys(c: np.ndarray, x: np.ndarray, linked: bool, percent: int) -> list[tuple[str, np.ndarray]]:
     """Elements under which x must meet every set y of the pool of centre c that it links with, unless both link with c.
-    A role and elements; what pairs of roles count is said in `far_groups`.
+    A role and elements; what pairs of roles count is said in `pool_groups`.
 
     Elements outside c come first, then those of c, each by value. Let dx and dy be the differences of x and y from c:
     they share (|dx| + |dy| - |x ^ y|) / 2 elements, and where y does not link with c, |dy| is beyond the bound of a
@@ -328,8 +326,9 @@ def centre_keys(c: np.ndarray, x: np.ndarray, linked: bool, percent: int) -> lis
     return out
 
 
-def far_groups(pools: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """key, node: the groups of the next round, for pools(centre, node, linked)."""
+def pool_keys(pools: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """pools(centre, node, linked) with n (size of the node's set), difference (the set's from its centre's, sorted),
+    and the keys and roles of centre_keys."""
     centres, members = sets.select(F.col("node").alias("centre"), F.col("u").alias("uc")), sets.select("node", "u")
     joined = pools.join(members, "node").join(centres, "centre").select("centre", "node", "linked", "uc", "u")
 
@@ -337,42 +336,108 @@ def far_groups(pools: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                lists = [part.column(k).combine_chunks() if isinstance(part.column(k), pa.ChunkedArray) else part.column(k) for k in (3, 4)]
-                keys, nodes, roles = [], [], []
-                for centre, node, linked, c, x in zip(*(part.column(k).to_pylist() for k in range(3)), *lists, strict=True):
+                out: list[list] = [[], [], [], [], [], []]
+                for centre, node, linked, c, x in zip(*(part.column(k).to_pylist() for k in range(3)), part.column(3), part.column(4), strict=True):
                     c, x = (np.asarray(v.values, np.int64).view(U64) for v in (c, x))
-                    salt = mix(np.array([centre], np.int64).view(U64))
+                    salt, keys, roles = mix(np.array([centre], np.int64).view(U64)), [], []
                     for role, elements in centre_keys(c, x, linked, percent):
                         system = U64(0x6A09E667F3BCC908) if role == "far" else U64(0)
-                        keys.append(mix(elements ^ mix(salt ^ system)))
-                        nodes.append(np.full(len(elements), node, np.int64))
+                        keys.append(mix(elements ^ mix(salt ^ system)).view(np.int64))
                         roles.append(np.full(len(elements), ROLES.index(role), np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in ([k.view(np.int64) for k in keys], nodes, roles)] if keys else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int32())], names=["key", "node", "role"])
+                    values = centre, node, len(x), np.setxor1d(c, x, assume_unique=True).view(np.int64), np.concatenate(keys), np.concatenate(roles)
+                    for column, value in zip(out, values, strict=True):
+                        column.append(value)
+                lists = [pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.list_(pa.int64())), pa.array(out[5], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), *lists], names=["centre", "node", "n", "difference", "keys", "roles"])
+
+    return materialise(joined.mapInArrow(emit, "centre long, node long, n long, difference array<long>, keys array<long>, roles array<int>"), "pool-keys")
+
 
-    rows = materialise(joined.mapInArrow(emit, "key long, node long, role int"), "centre-keys")
+def pool_groups(keyed: DataFrame, component: DataFrame) -> DataFrame:
+    """key, centre, node and members (how many) of the groups that pool_keys() makes, without those that hold no pair
+    of roles that counts or lie in one component."""
+    rows = keyed.select("centre", "node", F.explode(F.arrays_zip("keys", "roles")).alias("k")).select("centre", "node", F.col("k.keys").alias("key"), F.col("k.roles").alias("role"))
+    rows = rows.join(component, "node", "left").select("key", "centre", "node", "role", F.coalesce("component", "node").alias("component"))
     count = lambda role: F.count_if(F.col("role") == ROLES.index(role))
-    kept = rows.groupBy("key").agg(count("linked").alias("linked"), count("apart").alias("apart"), count("rest").alias("rest"), count("far").alias("far"))
-    kept = kept.where("far > 1 OR apart > 1 OR (linked > 0 AND apart + rest > 0)").select("key", "linked")
+    groups = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), count("linked").alias("linked"), count("apart").alias("apart"), count("rest").alias("rest"), count("far").alias("far"))
+    groups = groups.where("low < high").where("far > 1 OR apart > 1 OR (linked > 0 AND apart + rest > 0)")
     # 'rest' is there for linked sets only
-    out = rows.join(kept, "key").where((F.col("role") != ROLES.index("rest")) | (F.col("linked") > 0)).select("key", "node").distinct()
-    out = materialise(out, "groups")
-    discard(rows)
+    groups = groups.select("key", "linked", (F.col("far") + F.col("apart") + F.col("linked") + F.when(F.col("linked") > 0, F.col("rest")).otherwise(0)).alias("members"))
+    return materialise(rows.join(groups, "key").where((F.col("role") != ROLES.index("rest")) | (F.col("linked") > 0)).select("key", "centre", "node", "members"), "groups")
+
+
+def _forest(nodes: np.ndarray, sizes: np.ndarray, differences: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join whatever links join in one group, at most one fewer than members. The difference of two sets is
+    that of their differences from a common centre."""
+    flat = np.concatenate(differences)
+    elements, at = np.unique(flat, return_inverse=True)
+    own = np.repeat(np.arange(len(nodes)), [len(d) for d in differences])
+    shared = np.zeros((len(nodes), len(nodes)), np.float32)
+    for low in range(0, len(elements), 8192):
+        block = np.zeros((len(nodes), min(8192, len(elements) - low)), np.float32)
+        here = (at >= low) & (at < low + 8192)
+        block[own[here], at[here] - low] = 1
+        shared += block @ block.T
+    lengths = np.diag(shared).astype(np.int64)
+    apart = lengths[:, None] + lengths - 2 * shared.astype(np.int64)
+    top, out = list(range(len(nodes))), []
+    for a, b in zip(*np.nonzero(np.triu((100 + percent) * apart <= (100 - percent) * (sizes[:, None] + sizes), 1)), strict=True):
+        x, y = int(a), int(b)
+        while top[x] != x:
+            x = top[x] = top[top[x]]
+        while top[y] != y:
+            y = top[y] = top[top[y]]
+        if x != y:
+            top[y] = x
+            out.append((int(nodes[a]), int(nodes[b])))
     return out
 
 
-def jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included),
+def group_links(groups: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
+    """a, b: links that join all that links join inside each of groups(key, centre, node), whose members are few."""
+    rows = groups.join(keyed.select("centre", "node", "n", "difference"), ["centre", "node"])
+    partitions = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(partitions, "key").sortWithinPartitions("key", "node").select("key", "node", "n", "difference")
+
+    def compare(batches):
+        held: list[tuple] = []
+        out: list[tuple[int, int]] = []
+
+        def close():
+            first = {r[1]: r for r in held}
+            if len(first) > 1:
+                nodes, sizes, differences = zip(*((r[1], r[2], np.asarray(r[3].values, np.int64)) for r in first.values()), strict=True)
+                out.extend(_forest(np.array(nodes), np.array(sizes), list(differences), percent))
+            held.clear()
+
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+                if held and held[0][0] != row[0]:
+                    close()
+                held.append(row)
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+                out.clear()
+        close()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    return materialise(rows.mapInArrow(compare, "a long, b long").distinct(), "group-links")
+
+
+def jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85, doc_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row per row of docs: row_id (row_col, if given), doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included),
     kept (true for one row of each component, the first with that doc_id, and for every row that links with nothing).
 
     Documents link when 100 * |intersection| >= percent * |union| of their sets of `size`-word shingles; a shorter text
     is one shingle of all its words. Shingles are compared by 64-bit hashes and equal sets are told by 128 bits; with
     those, the result is exact. Null and texts without words have empty sets and link with nothing. Rows that repeat a
-    doc_id are sets of their own, and each row has its own set's size and component; a null doc_id links with nothing
-    and has a null component. Extra columns are ignored. An empty table gives no rows."""
+    doc_id are sets of their own, and each row has its own set's size and component. A row with a null doc_id makes no
+    links: it has the component of a document with an equal set, else null. Extra columns are ignored. An empty table gives no rows."""
     spark, bands = docs.sparkSession, Bands(percent)
-    rows = docs.select(F.col(doc_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    described = describe_sets(rows, size)
-    texts = rows.where("doc IS NOT NULL")
+    texts = docs.select(F.col(doc_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    described = describe_sets(docs.select(row_numbers(row_col).alias("row"), F.col(doc_col).cast("long").alias("doc"), F.col(text_col).alias("text")), size)
+    texts = texts.where("doc IS NOT NULL")
     with_set = described.where("n > 0 AND doc IS NOT NULL")
     # a node stands for all equal sets; it is the number of the first row with the least doc_id
     first = F.min_by(F.struct("row", "doc", "parts"), F.struct("doc", "row"))
@@ -417,18 +482,23 @@ def jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85, doc_col: str
         pools = pools.join(new_centres, "centre", "left_semi").join(linked, ["centre", "node"], "left").select("centre", "node", F.coalesce("linked", F.lit(False)).alias("linked"))
         pools = materialise(pools, "pools")
         pooled = sets(pools.select(F.explode(F.array("centre", "node")).alias("node")).distinct())
-        following = far_groups(pools, pooled, percent)
+        keyed = pool_keys(pools, pooled, percent)
+        smaller = pool_groups(keyed, component)
+        found = group_links(smaller.where(F.col("members") <= COMPARED), keyed, percent)
+        component = joined_components(component, found)
+        following = materialise(smaller.where(F.col("members") > COMPARED).select("key", "node").distinct(), "groups")
         marked = pairs.join(links.select(F.col("a").alias("centre"), F.col("b").alias("node"), F.lit(True).alias("linked")), ["centre", "node"], "left").select("centre", "node", F.coalesce("linked", F.lit(False)).alias("linked"))
         done = materialise(marked if done is None else done.unionByName(marked), "done")
-        discard(groups, members, centred, pairs, links, pools, pooled)
+        discard(groups, members, centred, pairs, links, pools, pooled, keyed, smaller, found)
         groups = following
 
     # the label is the smallest doc_id; of the rows of that set with that doc_id the first is kept
     labelled = known.select("node", "doc").join(component, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
     labels = labelled.groupBy("component").agg(F.min("doc").alias("component_id"), F.min_by("node", F.struct("doc", "node")).alias("keeper"))
     of_node = materialise(known.select("node", "k1", "k2", "n").join(labelled.select("node", "component"), "node").join(labels, "component").select("k1", "k2", "n", "component_id", "keeper"), "labels")
-    some = with_set.select("row", "doc", "n", "k1", "k2").join(of_node, ["k1", "k2", "n"]).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", (F.col("row") == F.col("keeper")).alias("kept"))
-    none = described.where("n = 0 OR doc IS NULL").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("doc").alias("component_id"), F.lit(True).alias("kept"))
+    some = described.where("n > 0").select("row", "doc", "n", "k1", "k2").join(of_node, ["k1", "k2", "n"], "left")
+    some = some.select(F.col("row").alias("row_id"), F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("row") == F.col("keeper"), F.lit(True)).alias("kept"))
+    none = described.where("n = 0").select(F.col("row").alias("row_id"), F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("doc").alias("component_id"), F.lit(True).alias("kept"))
     return some.unionByName(none)
 
 
@@ -444,7 +514,7 @@ def joined_components(component: DataFrame, links: DataFrame) -> DataFrame:
 
 def jaccard_join_query(docs: DataFrame) -> DataFrame:
     """Contract of op10."""
-    return jaccard_join(docs).drop("kept")
+    return jaccard_join(docs).drop("row_id", "kept")
 
 
 JACCARD_JOIN_SQL = r"""

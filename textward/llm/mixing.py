@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import materialise, numbered, row_numbers
 
 #: Least number of blocks of a source, and rows (of all sources) a block beyond that.
 BLOCKS, ROWS_A_BLOCK = 256, 50_000
@@ -96,15 +96,17 @@ def mix(
     source_col: str = "source",
     max_repeats: float = 2.0,
     entropy: float | None = None,
+    row_col: str | None = None,
 ) -> DataFrame:
-    """One row per row of docs: row_id, doc_id, source, n_tokens, weight (of its source), copies (1 or more), block.
+    """One row per row of docs: row_id (row_col, if given), doc_id, source, n_tokens, weight (of its source), copies (1
+    or more), block, last_block_turn and last_turn (the row's place in the pass that its last copy is drawn in).
 
     Tokens are words. The exponent is the least that repeats no source over max_repeats times, or, if `entropy` is
     given, the largest whose weights have that many nats. A null source is a source, shared with ''. Null and empty
     texts have no tokens and one copy; a source without tokens has weight 0 and one pass. Repeated rows are drawn each.
     Extra columns are ignored. An empty table gives no rows. `mixed` repeats the rows and gives each pass its order."""
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row_id"),
+        row_numbers(row_col).alias("row_id"),
         F.col(doc_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
         word_tokens(F.col(text_col)).alias("n_tokens"),
@@ -126,7 +128,8 @@ def mix(
     in_block = Window.partitionBy("source", "block").orderBy("doc_turn", "row_id").rowsBetween(Window.unboundedPreceding, 0)
     drawn = rows.join(placed, ["source", "block"]).withColumn("doc_turn", doc_turn(F.col("passes") + 1))
     extra = (F.col("n_tokens") > 0) & (F.col("before") + F.sum("n_tokens").over(in_block) <= F.col("rest"))
-    return drawn.select("row_id", "doc_id", "source", "n_tokens", F.round("weight", 9).alias("weight"), (F.col("passes") + extra.cast("long")).alias("copies"), "block")
+    copies = F.col("passes") + extra.cast("long")
+    return drawn.select("row_id", "doc_id", "source", "n_tokens", F.round("weight", 9).alias("weight"), copies.alias("copies"), "block", block_turn(copies).alias("last_block_turn"), doc_turn(copies).alias("last_turn"))
 
 
 def block_turn(pass_: Column) -> Column:
@@ -139,18 +142,24 @@ def doc_turn(pass_: Column) -> Column:
 
 def mixed(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: docs with each row repeated as often as `mix` says, its own columns and mix_pass
-    (from 1), mix_block, mix_block_turn and mix_turn. Sorting a source by (mix_pass, mix_block_turn, mix_turn) gives its budgeted block permutations. Rows that
-    share a doc_id and source get the most copies of any of them. Columns of docs with those names are not allowed."""
-    drawn = mix(docs, doc_col, text_col, source_col, **options).groupBy("doc_id", "source").agg(F.max("copies").alias("copies"), F.first("block").alias("block"))
-    drawn = drawn.select(F.col("doc_id").alias("mix_doc"), F.col("source").alias("mix_source"), F.col("copies").alias("mix_copies"), F.col("block").alias("mix_block"))
-    same = F.col(doc_col).cast("long").eqNullSafe(F.col("mix_doc")) & (F.coalesce(F.col(source_col).cast("string"), F.lit("")) == F.col("mix_source"))
-    out = docs.join(drawn, same).select(*[docs[c] for c in docs.columns], "mix_doc", "mix_source", "mix_block", F.explode(F.sequence(F.lit(1).cast("long"), "mix_copies")).alias("mix_pass"))
+    (from 1), mix_block, mix_block_turn and mix_turn. Sorting a source by (mix_pass, mix_block_turn, mix_turn) gives its
+    budgeted block permutations. Rows that share a doc_id are drawn each. A column of docs with one of those names, or
+    mix_row, raises ValueError."""
+    clashing = {"mix_row", "mix_pass", "mix_block", "mix_block_turn", "mix_turn"} & {c.lower() for c in docs.columns}
+    if clashing:
+        raise ValueError(f"columns are in the way: {sorted(clashing)}")
+    rows = numbered(docs, "mix_row", "mix-docs")
+    drawn = mix(rows, doc_col, text_col, source_col, row_col="mix_row", **options)
+    drawn = drawn.select(F.col("row_id").alias("mix_row"), F.col("doc_id").alias("mix_doc"), F.col("source").alias("mix_source"), F.col("copies").alias("mix_copies"), F.col("block").alias("mix_block"))
+    out = rows.join(drawn, "mix_row").withColumn("mix_pass", F.explode(F.sequence(F.lit(1).cast("long"), "mix_copies")))
     u = hashed(F.coalesce("mix_doc", F.lit(-1)))
-    return out.withColumns({"mix_block_turn": hashed(F.col("mix_source"), F.col("mix_pass"), F.col("mix_block")), "mix_turn": hashed(u, F.col("mix_pass"))}).drop("mix_doc", "mix_source")
+    turns = {"mix_block_turn": hashed(F.col("mix_source"), F.col("mix_pass"), F.col("mix_block")), "mix_turn": hashed(u, F.col("mix_pass"))}
+    return out.withColumns(turns).select(*[F.col(f"`{c}`") for c in docs.columns], "mix_pass", "mix_block", "mix_block_turn", "mix_turn")
 
 
 def mixing_query(docs: DataFrame) -> DataFrame:
-    """op7: every document with the copies it gets when no source is repeated more than twice."""
+    """op7: every document with the copies it gets when no source is repeated more than twice, and its place in the last
+    pass that draws it."""
     return mix(docs).drop("row_id")
 
 
@@ -187,6 +196,7 @@ p AS (
   FROM r JOIN q USING (source)
 )
 SELECT doc_id, source, n_tokens, round(weight, 9) AS weight,
-       passes + (n_tokens > 0 AND up_to <= rest)::BIGINT AS copies, block
-FROM o
+       copies, block, ('0x' || md5(concat_ws('|', source, copies, block))[:15])::BIGINT AS last_block_turn,
+       ('0x' || md5(concat_ws('|', u, copies))[:15])::BIGINT AS last_turn
+FROM (SELECT *, passes + (n_tokens > 0 AND up_to <= rest)::BIGINT AS copies FROM o)
 """

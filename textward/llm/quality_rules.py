@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WHITE, let, materialise
+from .shared import WHITE, let, materialise, row_numbers
 
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
@@ -57,10 +57,11 @@ def line_key(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("long")
 
 
-def base_figures(docs: DataFrame, doc_col: str, text_col: str, host_col: str, with_text: bool = False) -> DataFrame:
-    """Per row of docs: row_id, doc_id, host, the base figures, and lines (key, chars), one for each line with a word."""
+def base_figures(docs: DataFrame, doc_col: str, text_col: str, host_col: str, with_text: bool = False, row_col: str | None = None) -> DataFrame:
+    """Per row of docs: row_id, doc_id, host, the base figures, lines (key, chars), one for each line with a word, and,
+    with_text, the row itself as original."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(doc_col).cast("long").alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), text.alias("text"))
+    rows = docs.select(row_numbers(row_col).alias("row_id"), F.col(doc_col).cast("long").alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), text.alias("text"), *([F.struct("*").alias("original")] if with_text else []))
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, WHITE, "")) > 0)
     keyed = F.transform(lines, lambda x: let(normalised_line(x), lambda y: F.struct(line_key(y).alias("key"), F.length(y).cast("long").alias("chars"))))
     return rows.select(
@@ -72,8 +73,8 @@ def base_figures(docs: DataFrame, doc_col: str, text_col: str, host_col: str, wi
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         keyed.alias("lines"),
-        *(["text"] if with_text else []),
-    ).select("row_id", "doc_id", "host", "w.n_words", "word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words", "lines", *(["text"] if with_text else []))
+        *(["original"] if with_text else []),
+    ).select("row_id", "doc_id", "host", "w.n_words", "word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words", "lines", *(["original"] if with_text else []))
 
 
 def quality_rules(
@@ -87,29 +88,33 @@ def quality_rules(
     least_words: int = 50,
     repeat_percent: int = 50,
     with_text: bool = False,
+    row_col: str | None = None,
 ) -> DataFrame:
-    """One row per row of docs: row_id, doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, kept, line_chars (of normalised lines), boilerplate_chars (of those in lines above the limits).
+    """One row per row of docs: row_id (row_col, if given), doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    base_failed, kept, line_chars (of normalised lines), boilerplate_chars (of those in lines above the limits),
+    removed_lines (lines above the limits).
 
     A line is above the limits on a host if more than least_documents and more than host_share of the host's documents
     hold it (on both sides documents with the same set of normalised lines count once). A document is rejected if it fails the base rules
     (fewer than least_words words, or over repeat_percent of them in repeated 3-word windows) or if more than
-    depleted_share of its line characters are boilerplate. with_text adds clean_text: the text without its lines above
-    the limits.
+    depleted_share of its line characters are boilerplate. with_text adds clean_text, the text without its lines above
+    the limits (null for a null text), and original, the whole row.
 
     Null text: no words, base_failed. Null host: a host of its own, shared with ''. Repeated rows are judged each and
     count as one document. Extra columns are ignored. An empty table gives no rows."""
     keys = F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["key"])))
-    figures = materialise(base_figures(docs, doc_col, text_col, host_col, with_text).withColumn("line_set", line_key(F.array_join(keys.cast("array<string>"), ","))), "line-figures")
+    figures = materialise(base_figures(docs, doc_col, text_col, host_col, with_text, row_col).withColumn("line_set", line_key(F.array_join(keys.cast("array<string>"), ","))), "line-figures")
     on_host = figures.where(F.size("lines") > 0).select("host", "line_set", F.explode(F.array_distinct(F.transform("lines", lambda x: x["key"]))).alias("key"))
     host_docs = figures.groupBy("host", "line_set").agg(F.lit(1)).groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
     counted = on_host.groupBy("host", "key", "line_set").agg(F.lit(1)).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > least_documents)
     common = materialise(counted.join(host_docs, "host").where(F.col("n_docs") > host_share * F.col("host_docs")).select("host", "key"), "common-lines")
     lines = figures.select("row_id", "host", F.explode("lines").alias("line")).select("row_id", "host", "line.key", "line.chars")
-    hit = lines.join(common, ["host", "key"], "left_semi").groupBy("row_id").agg(F.sum("chars").alias("hit"), *([F.collect_set("key").alias("hit_keys")] if with_text else []))
+    hit = lines.join(common, ["host", "key"], "left_semi").groupBy("row_id").agg(F.sum("chars").alias("hit"), F.count(F.lit(1)).alias("hit_lines"), *([F.collect_set("key").alias("hit_keys")] if with_text else []))
     base_failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     judged = figures.withColumn("line_chars", F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["chars"])).drop("lines").join(hit, "row_id", "left")
-    clean = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.coalesce(F.array_contains("hit_keys", line_key(normalised_line(x))), F.lit(False))), "\n")
+    text = F.col("original")[text_col] if with_text else None
+    # blank lines have the key of an empty line, which is never counted
+    clean = F.when(F.col("hit_keys").isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("hit_keys", line_key(normalised_line(x)))), "\n")) if with_text else None
     return judged.select(
         "row_id",
         "doc_id",
@@ -122,7 +127,8 @@ def quality_rules(
         (~base_failed & (F.coalesce("hit", F.lit(0)) <= depleted_share * F.col("line_chars"))).alias("kept"),
         "line_chars",
         F.coalesce("hit", F.lit(0).cast("long")).alias("boilerplate_chars"),
-        *([clean.alias("clean_text")] if with_text else []),
+        F.coalesce("hit_lines", F.lit(0).cast("long")).alias("removed_lines"),
+        *([clean.alias("clean_text"), "original"] if with_text else []),
     )
 
 
@@ -157,22 +163,25 @@ WITH d AS (
   SELECT doc_id, host, md5(line)[:15] AS key, length(line) AS chars
   FROM (SELECT doc_id, host, unnest(lines) AS line FROM b)
 ), f AS (
-  SELECT doc_id, min(key) AS family FROM l GROUP BY doc_id
-), common AS (
+  SELECT doc_id, list_sort(list(DISTINCT key)) AS line_set FROM l GROUP BY doc_id
+), h AS (SELECT host, coalesce(line_set, []) AS line_set, doc_id FROM b LEFT JOIN f USING (doc_id)),
+common AS (
   SELECT host, key FROM (
-    SELECT l.host, key, count(DISTINCT family) AS n FROM l JOIN f USING (doc_id) GROUP BY l.host, key
-  ) JOIN (SELECT host, count(*) AS host_docs FROM b GROUP BY host) USING (host)
+    SELECT l.host, key, count(DISTINCT line_set) AS n FROM l JOIN f USING (doc_id) GROUP BY l.host, key
+  ) JOIN (SELECT host, count(DISTINCT line_set) AS host_docs FROM h GROUP BY host) USING (host)
   WHERE n > 20 AND n > 0.02 * host_docs
 ), c AS (
   SELECT doc_id, sum(chars)::BIGINT AS line_chars,
+         (count(*) FILTER ((host, key) IN (SELECT (host, key) FROM common)))::BIGINT AS removed_lines,
          coalesce(sum(chars) FILTER ((host, key) IN (SELECT (host, key) FROM common)), 0)::BIGINT AS boilerplate_chars
   FROM l GROUP BY doc_id
 ), r AS (
   SELECT b.*, coalesce(line_chars, 0)::BIGINT AS line_chars, coalesce(boilerplate_chars, 0)::BIGINT AS boilerplate_chars,
+         coalesce(removed_lines, 0)::BIGINT AS removed_lines,
          n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
   FROM b LEFT JOIN c USING (doc_id)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND boilerplate_chars <= 0.8 * line_chars AS kept, line_chars, boilerplate_chars
+       NOT base_failed AND boilerplate_chars <= 0.8 * line_chars AS kept, line_chars, boilerplate_chars, removed_lines
 FROM r
 """

@@ -31,30 +31,34 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed by release() or when the driver ends."""
+    """A new path in the shared folder, removed by remove_paths() or when the driver ends."""
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     _PATHS[path] = spark
     return path
 
 
-def mark() -> int:
-    """A point in time for release()."""
-    return len(_PATHS)
+def mark() -> set[str]:
+    """A point in time for made_since()."""
+    return set(_PATHS)
 
 
-def release(since: int = 0) -> None:
-    """Remove the scratch paths made since mark() gave `since`. Frames that still read them can no longer run."""
-    for path in list(_PATHS)[since:]:
-        _remove(_PATHS.pop(path), path)
+def made_since(before: set[str]) -> list[str]:
+    """The scratch paths made since mark() gave `before` that still exist."""
+    return [p for p in _PATHS if p not in before]
 
 
-def discard(*frames: DataFrame) -> None:
-    """Remove the tables behind frames that materialise() returned and that nothing reads any more."""
-    for path in {p for f in frames for p in getattr(f, "_scratch_paths", ())}:
+def remove_paths(paths: list[str]) -> None:
+    """Remove scratch paths. Frames that still read them can no longer run."""
+    for path in list(paths):
         if path in _PATHS:
             _remove(_PATHS.pop(path), path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Remove the tables behind frames that materialise() returned and that nothing reads any more."""
+    remove_paths([p for f in frames for p in getattr(f, "_scratch_paths", ())])
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -63,7 +67,7 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
-atexit.register(release)
+atexit.register(lambda: remove_paths(list(_PATHS)))
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -77,6 +81,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def numbered(docs: DataFrame, column: str, name: str) -> DataFrame:
+    """docs with a number of its own for each row, written so that it stays the same."""
+    if column in docs.columns:
+        raise ValueError(f"a column named {column} is in the way")
+    return materialise(docs.withColumn(column, F.monotonically_increasing_id()), name)
+
+
+def row_numbers(row_col: str | None) -> Column:
+    """The given column of row numbers, or new ones, which last only as far as the frame is written."""
+    return F.monotonically_increasing_id() if row_col is None else F.col(row_col)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row, also when body uses it inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
