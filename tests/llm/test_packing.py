@@ -2,10 +2,22 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from textward.llm.packing import binary_lengths, pack_documents
 from textward.llm.tokens import END_ID, TextEncoder, vocabulary_path
 
+
+ENCODERS = {}
+
+
+def library_ids(path):
+    """text -> ids by a fresh tokenizer, as the library gives them."""
+    tokenizer = Tokenizer.from_file(path)
+    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+
 DOCS = [
     (1, "Of the inanin. Thonst 'tis don't 123 a\nb", "x"),
     (2, None, "x"),
@@ -19,11 +31,27 @@ DOCS = [
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_pieces_equal_whole_text(name, spark, sf_dir):
-    enc = TextEncoder(vocabulary_path(name))
+    enc, want = TextEncoder(vocabulary_path(name)), library_ids(vocabulary_path(name))
     texts = [t for _, t, _ in DOCS if t] + [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()]
     texts += ["a \tb", "x\n\ny", "x \n y", "İstanbul Ångström", "a­ b", "tab\tx y", "l'été d'être it's we'll"]
+    texts += ["a <|endoftext|> b", "x<|startoftext|>", "<|endoftext", "stop... 'quoted', (so) rock'n'roll, it's' we'll! 5, a1, é, éa. ù***", "zero\0in it, \0 x"]
     for text in texts:
-        assert enc.encode(text) == enc.encode_whole(text)
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == want(text), text
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="abcAZé'.,*!-19 \n\t\u00a0\u0301İΣσß<|>endoftx", max_size=9), max_size=8).map(" ".join))
+def test_pieces_equal_whole_text_of_odd_characters(name, text):
+    if name not in ENCODERS:
+        ENCODERS[name] = TextEncoder(vocabulary_path(name)), library_ids(vocabulary_path(name))
+    enc, want = ENCODERS[name]
+    assert np.frombuffer(enc.encode(text), "<u4").tolist() == want(text)
+
+
+def test_escaped_special_tokens():
+    enc = TextEncoder(vocabulary_path("byte_bpe_50k.json"), escaped=True)
+    assert 50256 not in np.frombuffer(enc.encode("a <|endoftext|> b"), "<u4") and 50256 in library_ids(vocabulary_path("byte_bpe_50k.json"))("a <|endoftext|> b")
 
 
 def test_binary_lengths():
@@ -35,8 +63,8 @@ def test_binary_lengths():
 def test_pieces_cover_each_document(spark):
     path = vocabulary_path("word_bpe_49k.json")
     got = pack_documents(spark.createDataFrame(DOCS, "doc_id long, text string, start string"), path, longest=1024).collect()
-    enc = TextEncoder(path)
-    want = {i: np.append(np.frombuffer(enc.encode_whole(t or ""), "<u4"), END_ID).astype("<u4") for i, t, _ in DOCS}
+    ids_of = library_ids(path)
+    want = {i: np.append(ids_of(t or ""), END_ID).astype("<u4") for i, t, _ in DOCS}
     assert len({r.sequence_id for r in got}) == len(got)
     for doc, ids in want.items():
         rows = sorted((r for r in got if r.doc_id == doc), key=lambda r: r.start)

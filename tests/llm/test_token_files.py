@@ -3,15 +3,17 @@ import zlib
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from textward.llm.binary_output import decode_codes, encode_codes, read_token_files, write_token_files
 from textward.llm.ordered_files import make_folder, put_folder_file
 from textward.llm.separator_scan import scan_flat_files, token_counts
 from textward.llm.shared import scratch
-from textward.llm.tokens import END_ID, TextEncoder, vocabulary_path
+from tests.llm.test_packing import library_ids
+from textward.llm.tokens import END_ID, vocabulary_path
 
 PATH = vocabulary_path("byte_bpe_50k.json")
-DOCS = [(3, "c # # c", 1), (1, "It is. So\nit was", 2), (None, "no id", 3), (2, None, 4), (9, "", 5), (1, "It is. So\nit was", 6), (7, "ü longer " * 3000, 7)]
+DOCS = [(3, "c # # c <|endoftext|> d", 1), (1, "It is. So\nit was", 2), (None, "no id", 3), (2, None, 4), (9, "", 5), (1, "It is. So\nit was", 6), (7, "ü longer " * 3000, 7)]
 SCHEMA = "doc_id long, text string, n_tokens int"
 
 
@@ -31,9 +33,9 @@ def test_files_round_trip(spark):
     folder = scratch(spark, "t")
     files = write_token_files(spark.createDataFrame(DOCS, SCHEMA), PATH, folder, ids_per_file=2000)
     assert len(files) > 2
-    enc, start, want = TextEncoder(PATH), 0, []
+    ids_of, start, want = library_ids(PATH), 0, []
     for doc, text, _ in ordered():
-        ids = np.append(np.frombuffer(enc.encode_whole(text or ""), "<u4"), END_ID).astype("<u4")
+        ids = np.append(ids_of(text or ""), END_ID).astype("<u4")
         want.append((doc, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     got = [tuple(r) for r in read_token_files(spark, folder).collect()]
@@ -49,9 +51,10 @@ def test_no_documents(spark):
 
 
 def test_token_counts(spark):
-    enc, start, want = TextEncoder(PATH), 0, []
+    tokenizer, start, want = Tokenizer.from_file(PATH), 0, []
+    tokenizer.encode_special_tokens = True  # the separator's own text is not a separator
     for doc, text, _ in DOCS:
-        n = len(enc.encode_whole(text or "")) // 4
+        n = len(tokenizer.encode(text or "", add_special_tokens=False).ids)
         want.append((doc, start, n))
         start += n + 1
     got = [tuple(r) for r in token_counts(spark.createDataFrame(DOCS, SCHEMA), PATH, 50256).collect()]

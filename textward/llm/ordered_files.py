@@ -48,7 +48,7 @@ def in_order(docs: DataFrame, ids_per_file: int) -> DataFrame:
     return docs.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
 
-def write_files(docs: DataFrame, vocabulary: str, folder: str, ids_per_file: int, encode: Callable[[list, list[np.ndarray]], dict[str, list[bytes]]], end_id: int = END_ID) -> list[tuple[str, int, int]]:
+def write_files(docs: DataFrame, vocabulary: str, folder: str, ids_per_file: int, encode: Callable[[list, list[np.ndarray]], dict[str, list[bytes]]], end_id: int = END_ID, escaped: bool = False) -> list[tuple[str, int, int]]:
     """Write docs(doc_id, text), partition after partition in their order, as files of at most twice ids_per_file ids
     (more only for one document) whose names sort in that order. encode(doc ids, id arrays) gives the bytes of a file,
     or of several by suffix. Returns (name without suffix, documents, ids), one per file."""
@@ -71,7 +71,7 @@ def write_files(docs: DataFrame, vocabulary: str, folder: str, ids_per_file: int
             ids_held.clear()
             return row
 
-        for rows in id_batches(batches, vocabulary, end_id):
+        for rows in id_batches(batches, vocabulary, end_id, escaped=escaped):
             for doc, ids in rows:
                 if docs_held and size + len(ids) > 2 * ids_per_file:
                     yield flush()

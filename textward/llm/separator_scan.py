@@ -85,7 +85,7 @@ def write_flat_files(docs: DataFrame, vocabulary: str, folder: str, separator: i
         names = np.array([NULL_NAME if d is None else d for d in doc_ids], dtype="<i8")
         return {SUFFIX: [np.concatenate(ids).astype(kind).tobytes()], NAMES: [names.tobytes()]}
 
-    write_files(docs, vocabulary, folder, ids_per_file, flat, separator)
+    write_files(docs, vocabulary, folder, ids_per_file, flat, separator, escaped=True)
 
 
 def read_names(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Byte-level and word BPE never merge across a lone blank or line break that stands between two printing characters,
 so a text can be cut there, each distinct piece encoded once by the tokenizers library, and the ids joined again.
-Texts with other white space are encoded whole. tests/llm/test_tokens.py holds both against whole-text encoding.
+Texts with other white space, and those that hold a special token's text, are encoded whole.
+tests/llm/test_packing.py holds all of it against a tokenizer of its own.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ import numpy as np
 BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Appended to each document by the packing and binary-output operators.
 END_ID = 2
-#: Pieces kept per worker and table; a table starts anew beyond it, so memory is bounded (about 55 MB each).
-PIECES_KEPT = 250_000
+#: Pieces kept per worker and table: the newest so many, and of the same number before them those asked for since.
+#: Memory is bounded (about 80 MB a table).
+PIECES_KEPT = 200_000
 
-_PLAIN = "!-~¡-¬®-ɏ"
 #: A piece may be cut off only where printing characters stand on both sides.
-_PLAIN_ENDS = re.compile(f"[{_PLAIN}](?:.*[{_PLAIN}])?", re.DOTALL)
+_PLAIN = frozenset(chr(k) for a, b in ((0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0x24F)) for k in range(a, b + 1))
+_ASCII_MARKS = "".join(chr(k) for k in range(0x21, 0x7F) if not chr(k).isalnum())
 #: Pieces of only these need neither composing nor special lower-casing.
 _SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]*")
 
@@ -45,12 +47,16 @@ class _Pieces(dict):
 
     def __init__(self, make):
         super().__init__()
-        self._make = make
+        self._make, self._before = make, {}
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= PIECES_KEPT:
+            self._before = dict(self)
             self.clear()
-        ids = self[piece] = self._make(piece)
+        ids = self._before.get(piece)
+        if ids is None:
+            ids = self._make(piece)
+        self[piece] = ids
         return ids
 
 
@@ -59,18 +65,19 @@ class TextEncoder:
 
     A new piece is cut into words by the tokenizer file's own split pattern and each new word goes through the
     library's merge model; pieces with unusual characters, and texts with unusual white space, go through the library
-    whole."""
+    whole. `escaped`: special tokens' texts are encoded like any other text."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, escaped: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(vocabulary)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = escaped
         self._tokenize = self._tokenizer.model.tokenize
         with open(vocabulary, encoding="utf-8") as f:
             parts = json.load(f)
+        self._special = [] if escaped else [t["content"] for t in parts["added_tokens"]]
         split = (parts["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
         self._lower = split is not None
         self._split = regex.compile(split or BYTE_LEVEL_SPLIT).findall
@@ -92,9 +99,11 @@ class TextEncoder:
         return array("I", [t.id for t in self._tokenize(word)]).tobytes()
 
     def _encode_piece(self, piece: str, blank: str) -> bytes:
-        if piece.isascii() and piece.isalpha():
-            return self._encode_word((blank + piece).lower().strip() if self._lower else blank + piece)
-        if not _PLAIN_ENDS.fullmatch(piece):
+        core = piece.rstrip(_ASCII_MARKS)
+        if core.isascii() and core.isalpha():
+            ids = self._words[core.lower() if self._lower else blank + core]
+            return ids + self._words[piece[len(core) :]] if len(core) < len(piece) else ids
+        if not piece or piece[0] not in _PLAIN or piece[-1] not in _PLAIN:
             raise _UnusualWhite
         if not _SIMPLE.fullmatch(piece):
             return self.encode_whole(blank + piece)
@@ -104,6 +113,8 @@ class TextEncoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if any(s in text for s in self._special):
+            return self.encode_whole(text)
         heads, tail, line_break, out = self._heads, self._tails.__getitem__, self._break, []
         try:
             for line in text.split("\n"):
@@ -118,14 +129,14 @@ class TextEncoder:
         return b"".join(out)
 
 
-_ENCODERS: dict[str, TextEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], TextEncoder] = {}
 
 
-def encoder(vocabulary: str) -> TextEncoder:
+def encoder(vocabulary: str, escaped: bool = False) -> TextEncoder:
     """One encoder a worker process; Spark reuses workers, so pieces stay warm between tasks."""
-    if vocabulary not in _ENCODERS:
-        _ENCODERS[vocabulary] = TextEncoder(vocabulary)
-    return _ENCODERS[vocabulary]
+    if (vocabulary, escaped) not in _ENCODERS:
+        _ENCODERS[vocabulary, escaped] = TextEncoder(vocabulary, escaped)
+    return _ENCODERS[vocabulary, escaped]
 
 
 def vocabulary_path(name: str) -> str:
@@ -135,9 +146,9 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def id_batches(batches: Iterator, vocabulary: str, end_id: int = END_ID, rows: int = 256) -> Iterator[list[tuple[int | None, np.ndarray]]]:
+def id_batches(batches: Iterator, vocabulary: str, end_id: int = END_ID, rows: int = 256, escaped: bool = False) -> Iterator[list[tuple[int | None, np.ndarray]]]:
     """(doc_id, ids with the end id) for Arrow batches of (doc_id, text), a few hundred documents at a time."""
-    enc, end = encoder(vocabulary), np.array([end_id], dtype="<u4").tobytes()
+    enc, end = encoder(vocabulary, escaped), np.array([end_id], dtype="<u4").tobytes()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
