@@ -59,3 +59,30 @@ def test_every_language_is_a_class(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     for windows in (6000, 10):
         assert {lang for lang, _ in training_windows(docs, Settings(sample_windows=windows))} == {r[2] for r in rows}
+
+
+def test_letters():
+    import sys
+    import unicodedata
+
+    from textward.llm.language_id import has_letter
+
+    for k in range(0, sys.maxunicode, 7):
+        if not 0xD800 <= k < 0xE000:
+            assert has_letter(f"1 {chr(k)}_") == (unicodedata.category(chr(k))[0] == "L")
+    assert not has_letter("² ① Ⅷ ½ _ 7")
+
+
+def test_repeated_rows_ties_and_many_languages(spark):
+    from textward.llm.language_id import Settings, identify, training_windows
+
+    rows = [(None, "aaa bbb " * 30, "x")] * 500 + [(k, f"text {k} " * 9, f"l{k % 90}") for k in range(300)] + [(9, "² ①", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    s = Settings(sample_windows=400, steps=2)
+    sample = training_windows(docs, s)
+    # the repeated rows are one document, and every language is there
+    usable = {lang for _, _, lang in rows}
+    assert len(sample) <= 2 * 400 + 4 * len(usable) and sum(lang == "x" for lang, _ in sample) <= 8
+    got = identify(docs, s).collect()
+    assert len(got) == len(rows) and {r.lang_pred for r in got if r.doc_id == 9} >= {"und"}
+    assert len({(r.lang_pred, r.score) for r in got if r.doc_id is None}) == 1

@@ -52,7 +52,7 @@ def test_long_text_in_parts(spark, monkeypatch):
     text = "".join(rng.choices("abcdefgh ", k=9000))
     rows = [(1, text), (2, text[100:8000] + "?" + text[3000:3400])]
     monkeypatch.setattr(m, "BLOCK", 1000)
-    batches = m._blocks(iter([__import__("pyarrow").RecordBatch.from_pylist([{"doc": 1, "text": text}])]), 50)
+    batches = m._blocks(iter([__import__("pyarrow").RecordBatch.from_pylist([{"doc": 1, "tag": 7, "text": text}])]), 50)
     assert len(list(batches)) > 5
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(tuple(r)[:5] for r in suffix_dedup(docs).collect()) == brute(rows, 50)
@@ -65,3 +65,11 @@ def test_odd_rows(spark):
     rows = [(None, same, 0, 0), (1, same, 0, 0), (1, same, 0, 0), (2, same, 0, 0)]
     got = sorted(((r.doc_id, r.n_removed) for r in suffix_dedup(spark.createDataFrame(rows, schema)).collect()), key=str)
     assert got == [(1, 0), (1, 0), (2, len(same)), (None, 0)]
+
+
+def test_rows_that_repeat_an_id_are_cut_each_at_their_places(spark):
+    rng = random.Random(9)
+    a, b = ("".join(rng.choices("abcdefghij ", k=120)) for _ in range(2))
+    rows = [(1, a), (2, a), (2, b), (3, b[:70] + a[30:100])]
+    got = sorted(tuple(r)[:5] for r in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows, 50) and [r[2] for r in got if r[0] == 2] in ([0, 120], [120, 0])

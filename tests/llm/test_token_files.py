@@ -3,10 +3,11 @@ import zlib
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from textward.llm.binary_output import decode_codes, encode_codes, read_token_files, write_token_files
-from textward.llm.ordered_files import make_folder, put_folder_file
+from textward.llm.ordered_files import bases, make_folder, put_folder_file
 from textward.llm.separator_scan import scan_flat_files, token_counts
 from textward.llm.shared import scratch
 from tests.llm.test_packing import library_ids
@@ -32,7 +33,7 @@ def ordered():
 def test_files_round_trip(spark):
     folder = scratch(spark, "t")
     files = write_token_files(spark.createDataFrame(DOCS, SCHEMA), PATH, folder, ids_per_file=2000)
-    assert len(files) > 2
+    assert files.count() > 2 and files.agg({"n_docs": "sum"}).first()[0] == len(DOCS)
     ids_of, start, want = library_ids(PATH), 0, []
     for doc, text, _ in ordered():
         ids = np.append(ids_of(text or ""), END_ID).astype("<u4")
@@ -45,7 +46,7 @@ def test_files_round_trip(spark):
 def test_no_documents(spark):
     empty = spark.createDataFrame([], SCHEMA)
     folder = scratch(spark, "t")
-    assert write_token_files(empty, PATH, folder) == []
+    assert write_token_files(empty, PATH, folder).count() == 0
     assert read_token_files(spark, folder).count() == 0
     assert token_counts(empty, PATH, 50256).count() == 0
 
@@ -70,3 +71,9 @@ def test_scan_stitches_blocks(spark):
     for block in (1, 2, 3, 7, 100):
         got = sorted(tuple(r) for r in scan_flat_files(spark, folder, 0, block_ids=block).collect())
         assert got == [("a.ids", 0, 0, 1, True), ("a.ids", 1, 2, 0, True), ("a.ids", 2, 3, 9, True), ("a.ids", 3, 13, 2, False)]
+
+
+def test_bases_in_two_levels(spark):
+    rows = [(f"f/part-{p:07d}-{m:05d}.x", p + m + 1) for p in (0, 1, 9999, 10000, 25000) for m in range(3)]
+    got = {r.path: r.base for r in bases(spark.createDataFrame(rows, "path string, n int"), "path", F.col("n")).collect()}
+    assert got == {path: sum(n for other, n in rows if other < path) for path, _ in rows}

@@ -13,11 +13,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered_files import in_order, write_files
-from .shared import scratch
+from .ordered_files import bases, in_order, write_files
+from .shared import materialise, scratch
 from .tokens import vocabulary_path
 
 MAGIC, SUFFIX = b"TWV2", ".twv"
@@ -89,39 +90,42 @@ def decode_file(content: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if z else int(d) for d, z in zip(docs, nulls, strict=True)], sizes, ids
 
 
-def write_token_files(docs: DataFrame, vocabulary: str, folder: str, ids_per_file: int = 1_500_000, doc_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int, int]]:
+def write_token_files(docs: DataFrame, vocabulary: str, folder: str, ids_per_file: int = 1_500_000, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode docs in ascending doc_id order (null first, repeated ids by text) into files in `folder`, which all
     executors reach. Null text counts as empty, and each document ends with the end id. An empty table writes no file.
-    Texts are dealt by doc_id range and tokenised once. Returns (file without suffix, documents, ids)."""
+    Texts are dealt by doc_id range and tokenised once. Returns the table file (without suffix), n_docs, n_ids."""
     rows = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return write_files(in_order(rows, ids_per_file), vocabulary, folder, ids_per_file, lambda d, i: {SUFFIX: encode_file(d, i)})
 
 
 def read_token_files(spark, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of each document, from the files alone."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").load(folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").load(folder).select("path")
 
     def sizes(batches):
         for batch in batches:
-            for path, head in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([path.rsplit("/", 1)[-1]]), pa.array([struct.unpack_from(HEAD, head, 4)[1]], pa.int64())], names=["file", "n_ids"])
+            for path in batch.column(0).to_pylist():
+                fs, local = pafs.FileSystem.from_uri(path)
+                with fs.open_input_file(local) as f:
+                    n_ids = struct.unpack_from(HEAD, f.read(4 + struct.calcsize(HEAD)), 4)[1]
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n_ids], pa.int64())], names=["path", "n_ids"])
 
-    heads = files.select("path", F.expr("substring(content, 1, 28)").alias("head")).mapInArrow(sizes, "file string, n_ids long").collect()
-    bases, before = {}, 0
-    for r in sorted(heads):
-        bases[r.file], before = before, before + r.n_ids
+    placed = bases(materialise(files.mapInArrow(sizes, "path string, n_ids long"), "token-file-sizes"), "path", F.col("n_ids"))
 
     def decode(batches):
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                docs, n, ids = decode_file(content.as_py())
+            for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                fs, local = pafs.FileSystem.from_uri(path)
+                with fs.open_input_file(local) as f:
+                    docs, n, ids = decode_file(f.read())
                 ends = np.cumsum(n, dtype=np.int64)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 crcs = [zlib.crc32(raw[4 * (e - s) : 4 * e]) for e, s in zip(ends.tolist(), n.tolist(), strict=True)]
-                starts = bases[path.rsplit("/", 1)[-1]] + ends - n
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(n.astype(np.int64)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(base + ends - n), pa.array(n.astype(np.int64)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.select("path", "content").mapInArrow(decode, DECODED)
+    # one file a task, so that a lost one is read again alone
+    spread = max(1, files.count())
+    return placed.select("path", "base").repartition(spread, "path").mapInArrow(decode, DECODED)
 
 
 def binary_output_query(docs: DataFrame) -> DataFrame:

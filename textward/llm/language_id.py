@@ -16,7 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: What may be a letter; has_letter() leaves out the numbers among them.
+_WORD = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """True if text holds a character of a Unicode letter category."""
+    return any(m.group().isalpha() for m in _WORD.finditer(text))
 
 
 @dataclass
@@ -237,9 +243,10 @@ def held_out(doc_id):
 def training_windows(docs: DataFrame, s: Settings) -> list[tuple[str, bytes]]:
     """(lang, window) from documents with a language that are not held out: for each language, however many there are,
     an even share of sample_windows and one document at least, from documents chosen by hash over the whole table and
-    at places over their whole texts. Rows with a language's least-ranked doc_id are all read."""
+    at places over their whole texts. Rows that repeat a doc_id and text are one document, so what comes to the driver
+    is about 1.2 times sample_windows and one document a language."""
     usable = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") > 0))
-    rank = F.pmod(F.xxhash64("doc_id", F.lit(s.seed)), F.lit(1 << 30)) / float(1 << 30)
+    rank = F.pmod(F.xxhash64("doc_id", "text", F.lit(s.seed)), F.lit(1 << 30)) / float(1 << 30)
     usable = usable.withColumn("rank", rank)
     counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first")).collect()
     if not counts:
@@ -247,7 +254,7 @@ def training_windows(docs: DataFrame, s: Settings) -> list[tuple[str, bytes]]:
     want = max(1, s.sample_windows // (len(counts) * s.windows_per_document))
     # every language has a document in it, the one with the least rank at least
     shares = docs.sparkSession.createDataFrame([(r.lang, 1.2 * want / r.n, r.first) for r in counts], "lang string, share double, first double")
-    chosen = usable.join(F.broadcast(shares), "lang").where((F.col("rank") < F.col("share")) | (F.col("rank") <= F.col("first"))).select("lang", "rank", "text")
+    chosen = usable.join(F.broadcast(shares), "lang").where((F.col("rank") < F.col("share")) | (F.col("rank") <= F.col("first"))).select("lang", "rank", "text").dropDuplicates(["lang", "rank"])
     size, each, seed = s.window, s.windows_per_document, s.seed
 
     def cut(batches):
@@ -298,9 +305,10 @@ def identify(docs: DataFrame, settings: Settings | None = None, doc_col: str = "
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = part.column(2).to_pylist()
-                known = [bool(scorer and t and _LETTER.search(t)) for t in texts]
+                known = [bool(scorer and t and has_letter(t)) for t in texts]
                 if scorer:
                     p = document_probabilities(scorer, [t.encode() if k else b"" for t, k in zip(texts, known, strict=True)], window)
+                    p = p.round(6)  # sums of floats depend on what else is in the batch
                     best, top = p.argmax(axis=1), p.max(axis=1)
                 names = [scorer.classes[best[k]] if ok else UNKNOWN for k, ok in enumerate(known)]
                 points = [min(1.0, float(top[k])) if ok else 0.0 for k, ok in enumerate(known)]

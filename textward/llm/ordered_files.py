@@ -9,13 +9,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import materialise
 from .tokens import END_ID, id_batches
 
 #: Text bytes an id stands for at least, roughly; only sizes files.
 BYTES_PER_ID = 2.5
+#: Digits of a partition's number within which files are summed together.
+GROUP_DIGITS = 4
 MANIFEST = "file string, n_docs long, n_ids long"
 
 
@@ -48,10 +51,10 @@ def in_order(docs: DataFrame, ids_per_file: int) -> DataFrame:
     return docs.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
 
-def write_files(docs: DataFrame, vocabulary: str, folder: str, ids_per_file: int, encode: Callable[[list, list[np.ndarray]], dict[str, list[bytes]]], end_id: int = END_ID, escaped: bool = False) -> list[tuple[str, int, int]]:
+def write_files(docs: DataFrame, vocabulary: str, folder: str, ids_per_file: int, encode: Callable[[list, list[np.ndarray]], dict[str, list[bytes]]], end_id: int = END_ID, escaped: bool = False) -> DataFrame:
     """Write docs(doc_id, text), partition after partition in their order, as files of at most twice ids_per_file ids
     (more only for one document) whose names sort in that order. encode(doc ids, id arrays) gives the bytes of a file,
-    or of several by suffix. Returns (name without suffix, documents, ids), one per file."""
+    or of several by suffix. Returns the table file (name without suffix), n_docs, n_ids of them."""
     make_folder(folder)
 
     def write(batches):
@@ -81,5 +84,16 @@ def write_files(docs: DataFrame, vocabulary: str, folder: str, ids_per_file: int
         if docs_held:
             yield flush()
 
-    rows = docs.mapInArrow(write, MANIFEST).collect()
-    return sorted((r.file, r.n_docs, r.n_ids) for r in rows)
+    return materialise(docs.mapInArrow(write, MANIFEST), "manifest")
+
+
+def bases(files: DataFrame, order: str, size: Column) -> DataFrame:
+    """files with base: the sizes of all files before each, by the column `order`. A prefix sum in two levels: names
+    that agree up to their last GROUP_DIGITS digits of the partition number are summed first."""
+    rows = files.withColumn("size_", size).withColumn("group_", F.regexp_extract(order, r"^(.*part-\d+)\d{%d}-\d+" % GROUP_DIGITS, 1))
+    before = lambda *keys: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    groups = rows.groupBy("group_").agg(F.sum("size_").alias("size_"))
+    in_order = Window.orderBy("group_").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select("group_", F.coalesce(F.sum("size_").over(in_order), F.lit(0)).alias("group_base"))
+    within = rows.withColumn("within", F.coalesce(F.sum("size_").over(before("group_")), F.lit(0)))
+    return within.join(groups, "group_").withColumn("base", F.col("group_base") + F.col("within")).drop("group_", "size_", "group_base", "within")

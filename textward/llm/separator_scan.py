@@ -13,7 +13,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .ordered_files import write_files
+from .ordered_files import bases, write_files
 from .shared import scratch
 from .tokens import vocabulary_path
 
@@ -109,13 +109,9 @@ def token_counts(docs: DataFrame, vocabulary: str, separator: int, doc_col: str
     folder = scratch(spark, "flat-ids")
     write_flat_files(docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), vocabulary, folder, separator)
     scanned = scan_flat_files(spark, folder, separator)
-    sizes = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").load(folder).select("path", "length").collect()
-    base, before = [], 0
-    for r in sorted(sizes):
-        base.append((r.path.rsplit("/", 1)[-1], before))
-        before += r.length // 2
-    bases = spark.createDataFrame(base, "file string, base long")
-    return scanned.join(read_names(spark, folder).hint("merge"), ["file", "ordinal"]).join(bases, "file").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
+    placed = bases(files, "file", F.floor(F.col("length") / 2)).select("file", "base")
+    return scanned.join(read_names(spark, folder).hint("merge"), ["file", "ordinal"]).join(placed, "file").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens")
 
 
 def token_counts_query(docs: DataFrame) -> DataFrame:

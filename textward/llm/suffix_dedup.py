@@ -30,6 +30,8 @@ _TABLE = mix(np.arange(256, dtype=U64) + U64(0xC2B2AE3D27D4EB4F))
 _POWERS: list[np.ndarray] = []
 #: Texts of about so many bytes are hashed at a time.
 BLOCK = 1 << 20
+#: Rows of a batch handed back, and text bytes whose segments a bucket is meant to hold.
+ROWS, BUCKET_BYTES = 50_000, 8 << 20
 
 
 def _powers(n: int) -> list[np.ndarray]:
@@ -80,33 +82,35 @@ def segments(raw: np.ndarray, owner: np.ndarray, length: int, anchor: int) -> tu
 
 
 def _blocks(batches, length: int):
-    """Documents joined in blocks of about BLOCK bytes: ids, offsets of each within its text, raw bytes, owner of each
-    byte. A text longer than a block comes in parts that overlap by length - 1 bytes."""
-    ids, offsets, parts, size = [], [], [], 0
+    """Documents joined in blocks of about BLOCK bytes: ids, tags, offsets of each within its text, raw bytes, owner of
+    each byte. A text longer than a block comes in parts that overlap by length - 1 bytes."""
+    ids, tags, offsets, parts, size = [], [], [], [], 0
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for doc, tag, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             data = (text or "").encode()
             for at in range(0, max(1, len(data) - length + 1), BLOCK):
                 part = data[at : at + BLOCK + length - 1]
                 if len(part) < length:
                     continue
-                ids.append(doc), offsets.append(at), parts.append(part)
+                ids.append(doc), tags.append(tag), offsets.append(at), parts.append(part)
                 size += len(part)
                 if size >= BLOCK:
-                    yield ids, np.array(offsets), np.frombuffer(b"".join(parts), np.uint8), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-                    ids, offsets, parts, size = [], [], [], 0
+                    yield ids, tags, np.array(offsets), np.frombuffer(b"".join(parts), np.uint8), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+                    ids, tags, offsets, parts, size = [], [], [], [], 0
     if parts:
-        yield ids, np.array(offsets), np.frombuffer(b"".join(parts), np.uint8), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        yield ids, tags, np.array(offsets), np.frombuffer(b"".join(parts), np.uint8), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
 
 
-SENT = "bucket int, anchors binary, contents binary, docs binary, starts binary, sizes binary, befores binary, afters binary"
-SETTLED = "kind string, doc long, start long, size long, anchor long, content long, least long"
+COLUMNS = ["anchors", "contents", "docs", "tags", "starts", "sizes", "befores", "afters"]
+SENT = "bucket int, " + ", ".join(f"{c} binary" for c in COLUMNS)
+SETTLED = "kind string, doc long, tag int, start long, size long, anchor long, content long, least long"
 
 
 def settle(docs: DataFrame, length: int, anchor: int, buckets: int) -> DataFrame:
-    """docs(doc, text) to rows of kind 'cut' (doc, start, size: to be removed), 'open' (doc, start, size, anchor,
-    content: depends on a segment that must be sorted) and 'fetch' (one row for each distinct such segment: where to
-    find it, and the smallest document that has it)."""
+    """docs(doc, tag, text) to rows of kind 'cut' (doc, tag, start, size: to be removed), 'open' (doc, tag, start, size,
+    anchor, content: depends on a segment that must be sorted) and 'fetch' (one row for each distinct such segment:
+    where to find it, and the smallest document that has it). The tag is a hash of the text: rows that repeat a doc_id
+    with different texts are cut each at its own places."""
 
     def send(batches):
         held: list[tuple[np.ndarray, ...]] = []
@@ -119,12 +123,12 @@ def settle(docs: DataFrame, length: int, anchor: int, buckets: int) -> DataFrame
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=U64))
             full = [(k, order[a:b]) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in full], pa.int32()), *(pa.array([c[o].tobytes() for _, o in full], pa.binary()) for c in columns)], names=["bucket", "anchors", "contents", "docs", "starts", "sizes", "befores", "afters"])
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in full], pa.int32()), *(pa.array([c[o].tobytes() for _, o in full], pa.binary()) for c in columns)], names=["bucket", *COLUMNS])
 
-        for ids, offsets, raw, owner in _blocks(batches, length):
+        for ids, tags, offsets, raw, owner in _blocks(batches, length):
             text, start, size, anchors, contents, left, right = segments(raw, owner, length, anchor)
             before = np.searchsorted(owner, np.arange(len(ids)))
-            held.append((anchors, contents, np.array(ids, np.int64)[text], (start - before[text] + offsets[text]).astype(np.uint32), size.astype(np.uint16), left, right))
+            held.append((anchors, contents, np.array(ids, np.int64)[text], np.array(tags, np.int32)[text], (start - before[text] + offsets[text]).astype(np.uint32), size.astype(np.uint16), left, right))
             count += len(text)
             if count >= 600_000:
                 yield flush()
@@ -132,20 +136,20 @@ def settle(docs: DataFrame, length: int, anchor: int, buckets: int) -> DataFrame
         if held:
             yield flush()
 
-    kinds = [U64, U64, np.int64, np.uint32, np.uint16, np.uint16, np.uint16]
+    kinds = [U64, U64, np.int64, np.int32, np.uint32, np.uint16, np.uint16, np.uint16]
 
     def gather(batches):
-        parts = [[c.as_py() for c in row] for b in batches for row in zip(*(b.column(k) for k in range(1, 8)), strict=True)]
+        parts = [[c.as_py() for c in row] for b in batches for row in zip(*(b.column(k) for k in range(1, len(kinds) + 1)), strict=True)]
         if not parts:
             return
-        anchors, contents, owners, starts, sizes, lefts, rights = (np.frombuffer(b"".join(p[k] for p in parts), kind) for k, kind in enumerate(kinds))
+        anchors, contents, owners, tags, starts, sizes, lefts, rights = (np.frombuffer(b"".join(p[k] for p in parts), kind) for k, kind in enumerate(kinds))
         del parts
         order = np.argsort(anchors, kind="stable")
         sorted_anchors = anchors[order]
         same = np.concatenate([[False], sorted_anchors[1:] == sorted_anchors[:-1]])
         order = order[same | np.concatenate([same[1:], [False]])]
         del sorted_anchors, same
-        anchors, contents, owners, starts, sizes, lefts, rights = (c[order] for c in (anchors, contents, owners, starts, sizes, lefts, rights))
+        anchors, contents, owners, tags, starts, sizes, lefts, rights = (c[order] for c in (anchors, contents, owners, tags, starts, sizes, lefts, rights))
         if not len(anchors):
             return
         low, shared, alike = owners.copy(), np.zeros(len(owners), bool), np.ones(len(owners), bool)
@@ -162,19 +166,24 @@ def settle(docs: DataFrame, length: int, anchor: int, buckets: int) -> DataFrame
             shared[rows] |= least != most
             alike[rows] &= np.repeat(np.minimum.reduceat(contents[rows], begin) == np.maximum.reduceat(contents[rows], begin), count)
         cut = shared & alike & (owners > low)
-        yield _rows("cut", owners[cut], starts[cut], sizes[cut])
+        yield from _rows("cut", owners[cut], tags[cut], starts[cut], sizes[cut])
         keep = shared & ~alike
-        anchors, contents, owners, starts, sizes = (c[keep] for c in (anchors, contents, owners, starts, sizes))
-        yield _rows("open", owners, starts, sizes, anchors, contents)
+        anchors, contents, owners, tags, starts, sizes = (c[keep] for c in (anchors, contents, owners, tags, starts, sizes))
+        del lefts, rights, low, shared, alike, cut, keep
+        yield from _rows("open", owners, tags, starts, sizes, anchors, contents)
         if len(anchors):
             order = np.lexsort((owners, contents, anchors))
             first = order[np.concatenate([[True], (anchors[order][1:] != anchors[order][:-1]) | (contents[order][1:] != contents[order][:-1])])]
-            yield _rows("fetch", owners[first], starts[first], sizes[first], anchors[first], contents[first], owners[first])
+            yield from _rows("fetch", owners[first], tags[first], starts[first], sizes[first], anchors[first], contents[first], owners[first])
 
-    def _rows(kind, doc, start, size, anchors=None, contents=None, least=None):
-        n = len(doc)
-        optional = lambda x: pa.nulls(n, pa.int64()) if x is None else pa.array(np.ascontiguousarray(x).view(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.string()), pa.array(doc), pa.array(start.astype(np.int64)), pa.array(size.astype(np.int64)), optional(anchors), optional(contents), optional(least)], names=["kind", "doc", "start", "size", "anchor", "content", "least"])
+    def _rows(kind, doc, tag, start, size, *optional):
+        for at in range(0, len(doc), ROWS):
+            part = slice(at, at + ROWS)
+            n = len(doc[part])
+            given = [pa.array(np.ascontiguousarray(x[part]).view(np.int64)) for x in optional]
+            columns = [pa.array([kind] * n, pa.string()), pa.array(doc[part]), pa.array(tag[part]), pa.array(start[part].astype(np.int64)), pa.array(size[part].astype(np.int64)), *given]
+            columns += [pa.nulls(n, pa.int64())] * (3 - len(given))
+            yield pa.RecordBatch.from_arrays(columns, names=["kind", "doc", "tag", "start", "size", "anchor", "content", "least"])
 
     sent = docs.mapInArrow(send, SENT)
     return materialise(sent.repartition(buckets, "bucket").mapInArrow(gather, SETTLED), "settled")
@@ -246,14 +255,17 @@ def suffix_dedup(docs: DataFrame, length: int = 50, anchor: int = 24, doc_col: s
 
     A byte is removed if a string of `length` bytes over it also starts in a document with a smaller doc_id. Null text:
     empty. Texts shorter than `length` stay whole. A null doc_id has nothing removed and removes nothing. Rows that
-    repeat a doc_id count as one document; what is found in one is removed, by place, from each. Extra columns are
-    ignored. An empty table gives no rows."""
+    repeat a doc_id count as one document, and each is cut at its own places. Strings that stand in equal surroundings
+    everywhere are told to be equal by 128 bits of hashes, others by their bytes. Extra columns are ignored. An empty
+    table gives no rows."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(doc_col).cast("long").alias("doc"), F.hash(text_col).alias("tag"), F.col(text_col).alias("text"))
     texts = rows.where("doc IS NOT NULL")
-    settled = settle(texts, length, anchor, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // BUCKET_BYTES))
+    settled = settle(texts, length, anchor, buckets)
 
-    wanted = settled.where("kind = 'fetch'").groupBy("doc").agg(F.collect_list(F.struct("start", "size", "anchor", "content", "least")).alias("wanted"))
+    wanted = settled.where("kind = 'fetch'").groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "size", "anchor", "content", "least")).alias("wanted"))
 
     def fetch(batches):
         for batch in batches:
@@ -272,12 +284,12 @@ def suffix_dedup(docs: DataFrame, length: int = 50, anchor: int = 24, doc_col: s
             while flat := list(islice(found, 20_000)):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*flat, strict=True)], names=["anchor", "content", "first", "stop", "least"])
 
-    fetched = texts.join(wanted, "doc").select("text", "wanted").mapInArrow(fetch, "anchor long, content long, least long, data binary").dropDuplicates(["anchor", "content"])
+    fetched = texts.join(wanted, ["doc", "tag"]).select("text", "wanted").mapInArrow(fetch, "anchor long, content long, least long, data binary").dropDuplicates(["anchor", "content"])
     verdicts = materialise(fetched.repartition("anchor").mapInArrow(sort, "anchor long, content long, first long, stop long, least long"), "verdicts")
-    judged = settled.where("kind = 'open'").select("doc", "start", "anchor", "content").join(verdicts, ["anchor", "content"]).where("doc > least")
-    cuts = settled.where("kind = 'cut'").select("doc", "start", (F.col("start") + F.col("size")).alias("stop"))
-    cuts = cuts.unionByName(judged.select("doc", (F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("stop") + (length - 1)).alias("stop")))
-    by_doc = cuts.groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
+    judged = settled.where("kind = 'open'").select("doc", "tag", "start", "anchor", "content").join(verdicts, ["anchor", "content"]).where("doc > least")
+    cuts = settled.where("kind = 'cut'").select("doc", "tag", "start", (F.col("start") + F.col("size")).alias("stop"))
+    cuts = cuts.unionByName(judged.select("doc", "tag", (F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("stop") + (length - 1)).alias("stop")))
+    by_doc = cuts.groupBy("doc", "tag").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
 
     def remove(batches):
         for batch in batches:
@@ -290,7 +302,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, anchor: int = 24, doc_col: s
             types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    joined = rows.join(by_doc, "doc", "left").select("doc", "text", "starts", "stops")
+    joined = rows.join(by_doc, ["doc", "tag"], "left").select("doc", "text", "starts", "stops")
     return joined.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
