@@ -281,8 +281,8 @@ def fetch_sets(nodes: DataFrame, known: DataFrame, rows: DataFrame, size: int) -
             )
 
     built = rows.join(wanted.select("doc").distinct(), "doc", "left_semi").mapInArrow(build, "doc long, n long, k1 long, k2 long, u array<long>")
-    found = built.join(wanted, ["doc", "n", "k1", "k2"]).groupBy("node").agg(F.first("u").alias("u"))
-    return materialise(found, "pair-sets")
+    found = built.join(wanted, ["doc", "n", "k1", "k2"]).groupBy("doc", "n", "k1", "k2", "node").agg(F.first("u").alias("u"))
+    return materialise(found.select("node", "u"), "pair-sets")
 
 
 def links_of(pairs: DataFrame, known: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
@@ -326,6 +326,45 @@ def centre_keys(c: np.ndarray, x: np.ndarray, linked: bool, percent: int) -> lis
     return out
 
 
+def hopeful(rows: DataFrame, percent: int) -> DataFrame:
+    """centre, node of those rows(key, centre, node, component, n, parts) for which their key's group holds a row of
+    another component that sizes and parts allow to link. Groups have few members."""
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("key", "centre", "node", "component", "n", "parts").repartition(partitions, "key").sortWithinPartitions("key")
+
+    def compare(batches):
+        held: list[tuple] = []
+        out: set[tuple[int, int]] = set()
+
+        def close():
+            if len(held) > 1:
+                component, n = (np.array([r[k] for r in held]) for k in (3, 4))
+                parts = np.array([np.asarray(r[5].values) for r in held], np.int32)
+                for a in range(len(held)):
+                    least = np.abs(parts - parts[a]).sum(axis=1)
+                    able = (component != component[a]) & ((100 + percent) * least <= (100 - percent) * (n + n[a]))
+                    if able.any():
+                        out.add((held[a][1], held[a][2]))
+            held.clear()
+
+        def rows_of():
+            batch = pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], names=["centre", "node"])
+            out.clear()
+            return batch
+
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(5)), batch.column(5), strict=True):
+                if held and held[0][0] != row[0]:
+                    close()
+                held.append(row)
+            if len(out) > 10_000:
+                yield rows_of()
+        close()
+        yield rows_of()
+
+    return dealt.mapInArrow(compare, "centre long, node long")
+
+
 def pool_keys(pools: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """pools(centre, node, linked) with n (size of the node's set), difference (the set's from its centre's, sorted),
     and the keys and roles of centre_keys."""
@@ -464,7 +503,7 @@ def jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85, doc_col: str
         # the centre of a group is its member that meets most others: of a flood, what its copies were made from
         meets = members.groupBy("node").agg(F.sum("members").alias("meets"))
         centres = members.join(meets, "node").groupBy("key").agg(F.max_by("node", F.struct("meets", -F.col("node"))).alias("centre"))
-        centred = materialise(members.join(centres, "key").where("node <> centre").select("key", "centre", "node"), "centred")
+        centred = materialise(members.join(centres, "key").where("node <> centre").select("key", "centre", "node", "members"), "centred")
         pairs = centred.select("centre", "node").distinct()
         if done is not None:
             pairs = pairs.join(done, ["centre", "node"], "left_anti")
@@ -472,9 +511,11 @@ def jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85, doc_col: str
         links = links_of(pairs.select(F.col("centre").alias("a"), F.col("node").alias("b")), known, sets, percent)
         component = joined_components(component, links)
         # pools: members of groups that still lie in several components, under centres that are new to one of them
-        placed = groups.join(live.select("key"), "key", "left_semi").join(component, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
+        placed = centred.join(component, "node", "left").select("key", "centre", "node", "members", F.coalesce("component", "node").alias("component"))
         apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        pools = centred.join(apart, "key", "left_semi").select("centre", "node").distinct()
+        placed = materialise(placed.join(apart, "key", "left_semi"), "apart")
+        few = placed.where(F.col("members") <= COMPARED).join(known.select("node", "n", "parts"), "node")
+        pools = hopeful(few, percent).unionByName(placed.where(F.col("members") > COMPARED).select("centre", "node")).distinct()
         new_centres = pools.join(pairs, ["centre", "node"], "left_semi").select("centre").distinct()
         linked = links.select(F.col("a").alias("centre"), F.col("b").alias("node"), F.lit(True).alias("linked"))
         if done is not None:
@@ -489,7 +530,7 @@ def jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85, doc_col: str
         following = materialise(smaller.where(F.col("members") > COMPARED).select("key", "node").distinct(), "groups")
         marked = pairs.join(links.select(F.col("a").alias("centre"), F.col("b").alias("node"), F.lit(True).alias("linked")), ["centre", "node"], "left").select("centre", "node", F.coalesce("linked", F.lit(False)).alias("linked"))
         done = materialise(marked if done is None else done.unionByName(marked), "done")
-        discard(groups, members, centred, pairs, links, pools, pooled, keyed, smaller, found)
+        discard(groups, members, centred, placed, pairs, links, pools, pooled, keyed, smaller, found)
         groups = following
 
     # the label is the smallest doc_id; of the rows of that set with that doc_id the first is kept
