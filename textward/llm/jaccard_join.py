@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import discard, materialise, row_numbers
+from .shared import discard, materialise, reclaim, row_numbers
 
 U64 = np.uint64
 #: Keys sent at a time, sets of one sending from which on a key counts as frequent, and keys a bucket is meant to hold.
@@ -168,8 +168,8 @@ def _sets(batches, size: int):
 
 def describe_sets(rows: DataFrame, size: int) -> DataFrame:
     """rows(row, doc, text) to row, doc, n (size of its set), k1 and k2 (digest of the set) and parts
-    (the set's sizes in PARTS parts of the universe: two sets differ in at least the sum of the differences of their
-    parts)."""
+    (the set's sizes in PARTS parts of the universe, 127 at most: two sets differ in at least the sum of the differences
+    of their parts)."""
 
     def describe(batches):
         for batch in batches:
@@ -178,12 +178,12 @@ def describe_sets(rows: DataFrame, size: int) -> DataFrame:
                 out: list[list] = [[], [], [], []]
                 for _, u in _sets([part.select(["doc", "text"])], size):
                     parts = np.bincount((mix(u) >> U64(32)).astype(np.int64) % PARTS, minlength=PARTS)
-                    for column, value in zip(out, (len(u), *digest(u), parts.astype(np.int32)), strict=True):
+                    for column, value in zip(out, (len(u), *digest(u), np.minimum(parts, 127).astype(np.int8)), strict=True):
                         column.append(value)
-                columns = [part.column("row"), part.column("doc"), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.list_(pa.int32()))]
+                columns = [part.column("row"), part.column("doc"), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.list_(pa.int8()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["row", "doc", "n", "k1", "k2", "parts"])
 
-    return materialise(rows.select("row", "doc", "text").mapInArrow(describe, "row long, doc long, n long, k1 long, k2 long, parts array<int>"), "sets")
+    return materialise(rows.select("row", "doc", "text").mapInArrow(describe, "row long, doc long, n long, k1 long, k2 long, parts array<tinyint>"), "sets")
 
 
 def key_groups(rows: DataFrame, size: int, bands: Bands, buckets: int) -> DataFrame:
@@ -201,9 +201,11 @@ def key_groups(rows: DataFrame, size: int, bands: Bands, buckets: int) -> DataFr
             nonlocal flushed
             keys, owners = np.concatenate(held_keys), np.concatenate(held_owners)
             held_keys.clear(), held_owners.clear(), seen.clear()
-            keys, owners = keys[order := np.argsort(keys, kind="stable")], owners[order]
-            first = np.concatenate([[True], keys[1:] != keys[:-1]])
-            often = np.repeat(counts := np.diff(np.append(np.flatnonzero(first), len(keys))), counts) >= OFTEN
+            order = np.argsort(keys, kind="stable")
+            new = np.concatenate([[True], keys[order[1:]] != keys[order[:-1]]])
+            first, often = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+            first[order] = new
+            often[order] = np.repeat(counts := np.diff(np.append(np.flatnonzero(new), len(keys))), counts) >= OFTEN
             flushed += 1
             home = (keys >> U64(40)) % U64(buckets)
             away = mix(keys ^ mix(np.array([TaskContext.get().partitionId() << 20 | flushed], U64))) % U64(buckets)
@@ -487,6 +489,7 @@ def jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85, doc_col: str
     by_digest = key_groups(texts, size, bands, buckets)
     groups = materialise(by_digest.join(known.select("k1", "node"), "k1").select("key", "node").distinct(), "groups")
     discard(by_digest)
+    reclaim(spark)
 
     def sets(nodes: DataFrame) -> DataFrame:
         return fetch_sets(nodes, known, texts, size)
@@ -496,7 +499,10 @@ def jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85, doc_col: str
     while True:
         # groups that lie in one component have nothing left to find
         placed = groups.join(component, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        live = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")).where("low < high").select("key", "members")
+        members = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"who{k}") for k in range(2)]
+        live = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"), *members).where("low < high")
+        # of groups with the same members one is enough
+        live = live.groupBy("members", "who0", "who1").agg(F.min("key").alias("key")).select("key", "members")
         members = materialise(groups.join(live, "key"), "members")
         if members.isEmpty():
             break
@@ -532,6 +538,7 @@ def jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85, doc_col: str
         done = materialise(marked if done is None else done.unionByName(marked), "done")
         discard(groups, members, centred, placed, pairs, links, pools, pooled, keyed, smaller, found)
         groups = following
+        reclaim(spark)
 
     # the label is the smallest doc_id; of the rows of that set with that doc_id the first is kept
     labelled = known.select("node", "doc").join(component, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))

@@ -59,6 +59,11 @@ def discard(*frames: DataFrame) -> None:
     remove_paths([p for f in frames for p in getattr(f, "_scratch_paths", ())])
 
 
+def reclaim(spark: SparkSession) -> None:
+    """Ask the driver's JVM to notice frames that are gone, so that Spark removes their shuffle files now."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
