@@ -400,10 +400,14 @@ def pool_groups(keyed: DataFrame, component: DataFrame) -> DataFrame:
     rows = keyed.select("centre", "node", F.explode(F.arrays_zip("keys", "roles")).alias("k")).select("centre", "node", F.col("k.keys").alias("key"), F.col("k.roles").alias("role"))
     rows = rows.join(component, "node", "left").select("key", "centre", "node", "role", F.coalesce("component", "node").alias("component"))
     count = lambda role: F.count_if(F.col("role") == ROLES.index(role))
-    groups = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), count("linked").alias("linked"), count("apart").alias("apart"), count("rest").alias("rest"), count("far").alias("far"))
+    hashes = [F.xxhash64("node", F.lit(k)) for k in range(2)]
+    who = [F.bit_xor(F.when(F.col("role") != ROLES.index("rest"), h)).alias(f"some{k}") for k, h in enumerate(hashes)] + [F.bit_xor(h).alias(f"all{k}") for k, h in enumerate(hashes)]
+    groups = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), count("linked").alias("linked"), count("apart").alias("apart"), count("rest").alias("rest"), count("far").alias("far"), *who)
     groups = groups.where("low < high").where("far > 1 OR apart > 1 OR (linked > 0 AND apart + rest > 0)")
-    # 'rest' is there for linked sets only
-    groups = groups.select("key", "linked", (F.col("far") + F.col("apart") + F.col("linked") + F.when(F.col("linked") > 0, F.col("rest")).otherwise(0)).alias("members"))
+    # 'rest' is there for linked sets only; of groups with the same members one is enough
+    of_linked = lambda a, b: F.when(F.col("linked") > 0, a).otherwise(b)
+    groups = groups.select("key", "linked", (F.col("far") + F.col("apart") + F.col("linked") + of_linked(F.col("rest"), 0)).alias("members"), *(of_linked(F.col(f"all{k}"), F.col(f"some{k}")).alias(f"who{k}") for k in range(2)))
+    groups = groups.groupBy("members", "who0", "who1").agg(F.min(F.struct("key", "linked")).alias("one")).select("one.key", "one.linked", "members")
     return materialise(rows.join(groups, "key").where((F.col("role") != ROLES.index("rest")) | (F.col("linked") > 0)).select("key", "centre", "node", "members"), "groups")
 
 
