@@ -33,6 +33,8 @@ U64 = np.uint64
 FLUSH, OFTEN, KEYS_A_BUCKET = 1_000_000, 16, 2_000_000
 #: Groups of a later round with so many members at most are compared in memory; larger ones get centres of their own.
 COMPARED = 256
+#: Groups of keys with so many members at most lose, by their parts, the members that can link with no other.
+SIFTED = 4096
 #: Ways in which a set takes part in a group of a later round.
 ROLES = ["linked", "apart", "rest", "far"]
 #: Parts of the universe whose sizes bound a difference from below.
@@ -524,8 +526,8 @@ def jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85, doc_col: str
         placed = centred.join(component, "node", "left").select("key", "centre", "node", "members", F.coalesce("component", "node").alias("component"))
         apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
         placed = materialise(placed.join(apart, "key", "left_semi"), "apart")
-        few = placed.where(F.col("members") <= COMPARED).join(known.select("node", "n", "parts"), "node")
-        pools = hopeful(few, percent).unionByName(placed.where(F.col("members") > COMPARED).select("centre", "node")).distinct()
+        few = placed.where(F.col("members") <= SIFTED).join(known.select("node", "n", "parts"), "node")
+        pools = hopeful(few, percent).unionByName(placed.where(F.col("members") > SIFTED).select("centre", "node")).distinct()
         new_centres = pools.join(pairs, ["centre", "node"], "left_semi").select("centre").distinct()
         linked = links.select(F.col("a").alias("centre"), F.col("b").alias("node"), F.lit(True).alias("linked"))
         if done is not None:
