@@ -537,7 +537,11 @@ def jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85, doc_col: str
         pooled = sets(pools.select(F.explode(F.array("centre", "node")).alias("node")).distinct())
         keyed = pool_keys(pools, pooled, percent)
         smaller = pool_groups(keyed, component)
-        found = group_links(smaller.where(F.col("members") <= COMPARED), keyed, percent)
+        few = smaller.where(F.col("members") <= COMPARED).join(component, "node", "left").join(known.select("node", "n", "parts"), "node")
+        few = few.select("key", "centre", "node", F.coalesce("component", "node").alias("component"), "n", "parts")
+        # differences are sent only for members that can link with another
+        able = hopeful(few.withColumn("centre", F.col("key")), percent).select(F.col("centre").alias("key"), "node")
+        found = group_links(smaller.join(able, ["key", "node"], "left_semi"), keyed, percent)
         component = joined_components(component, found)
         following = materialise(smaller.where(F.col("members") > COMPARED).select("key", "node").distinct(), "groups")
         marked = pairs.join(links.select(F.col("a").alias("centre"), F.col("b").alias("node"), F.lit(True).alias("linked")), ["centre", "node"], "left").select("centre", "node", F.coalesce("linked", F.lit(False)).alias("linked"))
