@@ -15,13 +15,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Cross-script look-alikes and their Latin letters, and code points dropped entirely.
-CONFUSABLES = dict(
-    zip(
-        "аеорсухіјѕһԁԛɡ" "АВЕКМНОРСТУХІЅЈ" "αοερνικχ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ",
-        "aeopcyxijshdqg" "ABEKMHOPCTYXISJ" "aoepvikx" "ABEZHIKMNOPTYX",
-        strict=True,
-    )
-)
+# fmt: off
+CONFUSABLES = {
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j",
+    "ѕ": "s", "һ": "h", "ԁ": "d", "ԛ": "q", "ɡ": "g", "А": "A", "В": "B", "Е": "E", "К": "K",
+    "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "І": "I",
+    "Ѕ": "S", "Ј": "J", "α": "a", "ο": "o", "ε": "e", "ρ": "p", "ν": "v", "ι": "i", "κ": "k",
+    "χ": "x", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M",
+    "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
+}
+# fmt: on
 INVISIBLE = "\u00ad\u180e\u200b\u200c\u200d\u200e\u200f\u2060\u2061\u2062\u2063\u2064\u202a\u202b\u202c\u202d\u202e\u2066\u2067\u2068\u2069\ufeff"
 SELECTORS = [(0xFE00, 0xFE0F), (0xE0100, 0xE01EF)]
 

@@ -85,11 +85,13 @@ def drop_near_duplicates(samples: DataFrame, order_col: str, text_col: str = "te
 
 def _cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut, in the checkpoint folder that all executors share."""
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textward-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or f"{spark.conf.get('spark.sql.warehouse.dir')}/textward-scratch")
     return df.checkpoint()
 
 

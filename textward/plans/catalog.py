@@ -253,19 +253,19 @@ def _gate_sql() -> str:
 SELECT event_id, tool, reason IS NULL AS admissible, reason, CASE WHEN reason IS NULL THEN CASE tool WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END END AS matched_rule FROM (
   SELECT *, CASE
     WHEN tool = 'view' THEN CASE
-      WHEN host IS NULL THEN 'Tool "view" requires a host (args.url or args.host); none was provided.'
+      WHEN host IS NULL THEN 'Tool "view" requires a host, in url or host, and got none.'
       WHEN host = 'api.example.com' OR host = 'trusted.example' OR host LIKE '%.trusted.example' THEN NULL
       ELSE 'Host "' || host || '" is not in the allowlist for "view" (allowed: api.example.com, *.trusted.example).' END
     WHEN tool = 'click' THEN CASE
-      WHEN path IS NULL THEN 'Tool "click" requires a path (args.path); none was provided.'
-      WHEN path LIKE '%\\%%' ESCAPE '\\' THEN 'Path "' || path || '" contains percent-encoding; pass an already-decoded path.'
-      WHEN path LIKE '~%' THEN 'Path "' || path || '" starts with ''~''; home-directory expansion cannot be confined.'
-      WHEN regexp_matches(path, '^[a-z]+://') THEN 'Path "' || path || '" contains a URL/stream scheme; the gate confines filesystem paths, not wrappers.'
-      WHEN path LIKE '/%' THEN 'Path "' || path || '" is absolute; the gate has no trusted base to confine it against.'
-      WHEN path LIKE '../%' THEN 'Path "' || path || '" contains a parent-directory (''..'') segment; traversal is not permitted.'
+      WHEN path IS NULL THEN 'Tool "click" requires a path and got none.'
+      WHEN path LIKE '%\\%%' ESCAPE '\\' THEN 'Path "' || path || '" holds percent-encoding, which is not decoded here.'
+      WHEN path LIKE '~%' THEN 'Path "' || path || '" starts with ''~'', so home-directory expansion decides where it leads.'
+      WHEN regexp_matches(path, '^[a-z]+://') THEN 'Path "' || path || '" names a scheme, and only plain file paths are matched.'
+      WHEN path LIKE '/%' THEN 'Path "' || path || '" is absolute, while rules are relative.'
+      WHEN path LIKE '../%' THEN 'Path "' || path || '" has a ''..'' segment, which is traversal.'
       WHEN path IN ('data/users/list.json', './logs/app.log') THEN NULL
       ELSE 'Path "' || path || '" is outside the allowed paths for "click" (allowed: data/**/*.json, logs/*.log).' END
-    WHEN tool = 'purchase' THEN CASE WHEN mode IN ('WRITE', 'read-write') THEN 'Tool "purchase" is restricted to read-only; the request signals a write.' END
+    WHEN tool = 'purchase' THEN CASE WHEN mode IN ('WRITE', 'read-write') THEN 'Tool "purchase" may be used read-only, and these arguments ask for a write.' END
     ELSE 'Tool "' || tool || '" is not on the allowlist.' END AS reason
   FROM (SELECT event_id, event_type AS tool, rtrim(lower(regexp_extract(({lit(_URLS)})[event_id % {len(_URLS)} + 1], '^https://([^/]*)', 1)), '.') AS host,
         ({lit(_PATHS)})[event_id % {len(_PATHS)} + 1] AS path, ({lit(_MODES)})[event_id % {len(_MODES)} + 1] AS mode FROM events))"""
