@@ -107,3 +107,31 @@ def test_databases(tmp_path):
     Response.status = 404
     with pytest.raises(OSError):
         fetch("x", lambda url: Response())
+
+
+def test_required_literals():
+    from textward.functions.literals import required
+
+    assert required(r"ignore\s+(?:all\s+)?(?:previous|prior)", "i") == (("ignore",), ("previous", "prior"))
+    assert required(r"Key-?ID[0-9]+") == (("key-id", "keyid"),)
+    assert required(r"[^]*x{2,}") == (("x",),)
+    assert required(r"\s+|abc") == () and required(r"[\u{FE00}]{8,}", "u") == () and required(r"(?:abc)*") == ()
+
+
+def test_matches_hold_the_required_literals(spark):
+    """Every payload that a pattern matches holds a string of each of the pattern's groups."""
+    import re
+
+    from textward.functions.literals import required
+    from textward.plans.planted import PAYLOADS
+    from textward.sources.patterns import default_database, legacy_database
+
+    seen = 0
+    for p in [p for db in (default_database(), legacy_database()) for d in db.detectors for p in d.patterns if "u" not in p.flags]:
+        regex = re.compile(p.regex.replace("[^]", r"[\s\S]"), re.ASCII | (re.IGNORECASE if "i" in p.flags else 0))
+        for text, _ in PAYLOADS:
+            for shown in (text, text.upper()):
+                if regex.search(shown):
+                    seen += 1
+                    assert all(any(s in shown.lower() for s in group) for group in required(p.regex, p.flags)), (p.id, shown)
+    assert seen > 60

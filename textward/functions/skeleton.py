@@ -9,6 +9,7 @@ import sys
 import unicodedata
 from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,14 +45,24 @@ def active_characters() -> str:
     return "".join(chr(k) for k in range(0x80, sys.maxunicode + 1) if not 0xD800 <= k < 0xE000 and fold(chr(k)) != chr(k))
 
 
+class _Folds(dict):
+    """fold() of every code point seen so far, as str.translate() takes it."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = out = fold(chr(code))
+        return out
+
+
+_FOLDS = _Folds()
+
+
 def skeleton_of(text: str) -> tuple[str, list[int]]:
     """The skeleton and, for each of its characters, the position in text it came from."""
-    out, places = [], []
-    for i, c in enumerate(text):
-        f = fold(c)
-        out.append(f)
-        places.extend([i] * len(f))
-    return "".join(out), places
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    sizes = np.ones(len(codes), np.int32)
+    high = np.flatnonzero(codes >= 0x80)
+    sizes[high] = [len(_FOLDS[c]) for c in codes[high].tolist()]
+    return text.translate(_FOLDS), np.repeat(np.arange(len(codes), dtype=np.int32), sizes).tolist()
 
 
 def is_folded(text: Column) -> Column:

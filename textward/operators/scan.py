@@ -1,16 +1,18 @@
 """The scan kernel: pattern matches of a text as an array of threats on its own row.
 
-Everything stays in the row, so a scan adds no shuffle: a stage of literal regular expressions says which patterns
-occur, and only those are searched again for spans, gated, ordered and spliced out. The pattern table is one literal.
+Everything stays in the row, so a scan adds no shuffle: a stage of substring tests and literal regular expressions says
+which patterns occur, and only those are searched again for spans, gated, ordered and spliced out. The pattern table is one literal.
 """
 
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.literals import required
 from ..functions.regex import SPACES, to_java
 from ..functions.risk import SEVERITIES, THRESHOLDS, risk_level, severity_rank
 from ..functions.skeleton import original_span, skeleton
@@ -38,7 +40,7 @@ def _rows(db: PatternDatabase) -> list[dict]:
                     "detector": d.id, "det_ord": det_ord, "pat_ord": len(out), "id": p.id, "java": to_java(p.regex, p.flags), "category": p.category, "type": p.type,
                     "severity": p.severity, "raised": raised.get(p.severity, p.severity), "confidence": p.confidence, "boosted": min(1.0, p.confidence + d.boost), "label": p.label,
                     "group": p.extract_group, "least": p.min_length, "boost": p.boost, "require": p.require, "drop_below": d.drop_below, "raw": d.raw, "masked": d.masked,
-                    "mode": d.mode, "replacement": d.replacement if d.mode == "replace" else "", "signals": to_java(d.signals, "i") if d.signals else r"(?!)", "suffix": d.suffix, "plain_suffix": d.plain_suffix,
+                    "literals": required(p.regex, p.flags), "mode": d.mode, "replacement": d.replacement if d.mode == "replace" else "", "signals": to_java(d.signals, "i") if d.signals else r"(?!)", "suffix": d.suffix, "plain_suffix": d.plain_suffix,
                 }
             )
     return out
@@ -54,21 +56,21 @@ def redacted(x: Column) -> Column:
 
 
 def _spans(x: Column, p: Column) -> Column:
-    """offset, matched and extracted of every match of pattern row p in x, by the gaps between matches."""
-
-    def placed(whole: Column, gaps: Column, groups: Column) -> Column:
-        return F.transform(
-            whole,
-            lambda m, i: F.struct(
-                (F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda a, g: a + F.length(g)) + F.aggregate(F.slice(whole, 1, i), F.lit(0), lambda a, w: a + F.length(w))).alias("offset"),
-                m.alias("matched"),
-                F.when(p["group"] == 0, m).otherwise(F.get(groups, i)).alias("extracted"),
-                i.alias("at"),
-            ),
-        )
+    """offset, matched, extracted and number of every match of pattern row p in x, by the gaps between matches."""
+
+    def placed(f: Column) -> Column:
+        start = F.struct(F.lit(0).alias("stop"), F.array().cast("array<struct<offset:int,matched:string,extracted:string,at:int>>").alias("out"))
+
+        def step(acc: Column, m: Column) -> Column:
+            i = F.size(acc["out"])
+            offset = acc["stop"] + F.length(F.get(f["gaps"], i))
+            span = F.struct(offset.alias("offset"), m.alias("matched"), F.when(p["group"] == 0, m).otherwise(F.get(f["groups"], i)).alias("extracted"), i.alias("at"))
+            return F.struct((offset + F.length(m)).alias("stop"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    found = F.struct(F.regexp_extract_all(x, p["java"], F.lit(0)).alias("whole"), F.split(x, p["java"], -1).alias("gaps"), F.regexp_extract_all(x, p["java"], p["group"]).alias("groups"))
-    return let(found, lambda f: placed(f["whole"], f["gaps"], f["groups"]))
+        return F.aggregate(f["whole"], start, step, lambda acc: acc["out"])
+
+    groups = F.when(p["group"] > 0, F.regexp_extract_all(x, p["java"], p["group"]))
+    return let(F.struct(F.regexp_extract_all(x, p["java"], F.lit(0)).alias("whole"), F.split(x, p["java"], -1).alias("gaps"), groups.alias("groups")), placed)
 
 
 def _gated(spans: Column, p: Column, threshold: float) -> Column:
@@ -93,6 +95,15 @@ def _gated(spans: Column, p: Column, threshold: float) -> Column:
     return F.filter(F.transform(passing, shaped), lambda s: s["confidence"] >= threshold)
 
 
+def _occurs(p: dict) -> Column:
+    """True where pattern p matches: the literals its matches hold are looked for first, in the lower-cased text."""
+    lower = F.col("_lower" if p["raw"] else "_searched_lower")
+    test = F.col("_text" if p["raw"] else "_searched").rlike(p["java"])
+    for group in reversed(p["literals"]):
+        test = reduce(lambda a, b: a | b, [lower.contains(s) for s in group]) & test
+    return test
+
+
 def _threats(text: Column, searched: Column, places: Column, hits: Column, table: Column, threshold: float) -> Column:
     """All threats in order: severity, confidence, then registry, pattern and place; with what sanitising needs."""
 
@@ -165,7 +176,8 @@ def scan(df: DataFrame, db: PatternDatabase, text_col: str = "text", strictness:
         rows = rows.withColumn("_folded", skeleton(F.col("_text"))).withColumn("_searched", F.coalesce("_folded.skeleton", "_text")).withColumn("_places", F.col("_folded.places")).drop("_folded")
     else:
         rows = rows.withColumn("_searched", F.col("_text")).withColumn("_places", F.lit(None).cast("array<int>"))
-    tests = [F.when(F.col("_text" if p["raw"] else "_searched").rlike(p["java"]), F.lit(p["pat_ord"])) for p in patterns]
+    rows = rows.withColumn("_lower", F.lower("_text")).withColumn("_searched_lower", F.when(F.col("_places").isNull(), F.col("_lower")).otherwise(F.lower("_searched")))
+    tests = [F.when(_occurs(p), F.lit(p["pat_ord"])) for p in patterns]
     rows = rows.withColumn("_hits", F.filter(F.array(*tests), lambda h: h.isNotNull()) if tests else F.array().cast("array<int>"))
     table = F.from_json(F.lit(json.dumps(patterns)), TABLE)
     full = F.when(F.size("_hits") > 0, _threats(F.col("_text"), F.col("_searched"), F.col("_places"), F.col("_hits"), table, THRESHOLDS[strictness]))
@@ -186,7 +198,7 @@ def scan(df: DataFrame, db: PatternDatabase, text_col: str = "text", strictness:
             "highest_severity": first["severity"],
         }
     )
-    return out.drop("_text", "_searched", "_places", "_hits", "_full")
+    return out.drop("_text", "_searched", "_lower", "_searched_lower", "_places", "_hits", "_full")
 
 
 def threats(scanned: DataFrame, *keys: str) -> DataFrame:
