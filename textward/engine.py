@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.risk import THRESHOLDS, risk_level, severity_rank
-from .operators import action_gate, audit, classifier
+from .operators import action_gate, audit, classifier, custom
 from .operators.action_gate import ActionRule
+from .operators.custom import CodeDetector
 from .operators.scan import PUBLIC, scan, threats
 from .operators.sessions import SessionScan, accumulated, scan_sessions, trailing_window
-from .sources.patterns import DetectorSpec, PatternDatabase, default_database
+from .sources.patterns import REGISTRY, DetectorSpec, PatternDatabase, default_database
 
 log = logging.getLogger(__name__)
 
@@ -26,6 +27,7 @@ class Config:
     sanitize_mode: str = "merged"
     disabled: frozenset[str] = frozenset()
     custom: tuple[DetectorSpec, ...] = ()
+    code: tuple[CodeDetector, ...] = ()
     scorer: Callable | None = None
     ml_threshold: float = 0.5
     window_turns: int = 8
@@ -73,18 +75,36 @@ class ThreatEngine:
         c = self.config
         return {"strictness": c.strictness, "normalize": c.normalize, "sanitize_mode": c.sanitize_mode}
 
+    def events(self) -> DataFrame:
+        """One row for each detector of the registry that does not run: event, detector_id and reason."""
+        have = {d.id for d in self._source.detectors}
+        rows = [("detector_skipped", r[0], "config-disabled" if r[0] in self.config.disabled else "no-patterns") for r in REGISTRY if r[0] in self.config.disabled or r[0] not in have]
+        return self.spark.createDataFrame(rows, "event string, detector_id string, reason string")
+
     def scan(self, df: DataFrame, text_col: str = "text") -> DataFrame:
-        """df with threats, clean, sanitized, risk_level, threats_found, detectors_run, highest_severity; with a scorer
-        its labels are threats too."""
-        out = scan(df, self.database, text_col, **self._options())
-        if self.config.scorer is None:
+        """df with threats, clean, sanitized, risk_level, threats_found, detectors_run, highest_severity. With a scorer
+        its labels, with detectors given as code their finds are threats too, and detector_errors (detector_id and
+        message) says which of them raised on the row; the others' threats stand."""
+        out, c = scan(df, self.database, text_col, **self._options()), self.config
+        if c.scorer is None and not c.code:
             return out
-        scored = classifier.with_logits(out, text_col, self.config.scorer)
-        more = F.filter(classifier.label_threats(F.coalesce(F.col(text_col), F.lit("")), F.col("logits"), self.config.ml_threshold), lambda t: t["confidence"] >= THRESHOLDS[self.config.strictness])
-        ranked = F.transform(F.concat("threats", more), lambda t, i: F.struct((-severity_rank(t["severity"])).alias("s"), (-t["confidence"]).alias("c"), i.alias("i"), t.alias("t")))
-        scored = scored.withColumn("threats", F.transform(F.array_sort(ranked), lambda r: r["t"])).drop("logits")
+        more, errors, text = [], [], F.coalesce(F.col(text_col), F.lit(""))
+        if c.code:
+            out = custom.with_code_threats(out, text_col, c.code, THRESHOLDS[c.strictness])
+            more.append(F.col("code_threats"))
+            errors.append(F.col("code_errors"))
+        if c.scorer is not None:
+            out = classifier.with_logits(out, text_col, c.scorer)
+            more.append(classifier.label_threats(text, F.col("logits"), c.ml_threshold))
+            error = F.struct(F.lit("ml-classifier").alias("detector_id"), F.col("scorer_error").alias("message"))
+            errors.append(F.filter(F.array(error), lambda e: e["message"].isNotNull()))
+        added = F.filter(F.concat(*more), lambda t: t["confidence"] >= THRESHOLDS[c.strictness])
+        ranked = F.transform(F.concat("threats", added), lambda t, i: F.struct((-severity_rank(t["severity"])).alias("s"), (-t["confidence"]).alias("c"), i.alias("i"), t.alias("t")))
+        out = out.withColumns({"threats": F.transform(F.array_sort(ranked), lambda r: r["t"]), "detector_errors": F.concat(*errors)})
         top = F.get("threats", F.lit(0))
-        return scored.withColumns({"clean": F.size("threats") == 0, "threats_found": F.size("threats"), "detectors_run": F.col("detectors_run") + 1, "risk_level": risk_level(top["severity"], top["confidence"]), "highest_severity": top["severity"]})
+        ran = F.col("detectors_run") + (len(c.code) + int(c.scorer is not None))
+        out = out.withColumns({"clean": F.size("threats") == 0, "threats_found": F.size("threats"), "detectors_run": ran, "risk_level": risk_level(top["severity"], top["confidence"]), "highest_severity": top["severity"]})
+        return out.drop("code_threats", "code_errors", "logits", "scorer_error")
 
     def threats(self, df: DataFrame, *keys: str, text_col: str = "text") -> DataFrame:
         return threats(self.scan(df, text_col), *keys)

@@ -61,16 +61,28 @@ class WordPiece:
 
 
 def with_logits(df: DataFrame, text_col: str, scorer: Callable[[list[str]], list[list[float] | None]], batch: int = 32) -> DataFrame:
-    """df with logits from scorer(texts), called on the executors for `batch` texts at a time."""
+    """df with logits from scorer(texts), called on the executors for `batch` texts at a time. A
+    text on which it raises has null logits and the message in scorer_error."""
 
-    @F.pandas_udf("array<float>")
-    def score(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf("struct<logits:array<float>,error:string>")
+    def score(texts: pd.Series) -> pd.DataFrame:
         out: list = []
         for at in range(0, len(texts), batch):
-            out += scorer([t or "" for t in texts[at : at + batch]])
-        return pd.Series(out)
+            some = [t or "" for t in texts[at : at + batch]]
+            try:
+                out += [(x, None) for x in scorer(some)]
+            except Exception:  # a model may raise anything; the texts that make it do so are found one by one
+                out += [_alone(scorer, t) for t in some]
+        return pd.DataFrame(out, columns=["logits", "error"])
 
-    return df.withColumn("logits", score(F.col(text_col)))
+    return df.withColumn("_score", score.asNondeterministic()(F.col(text_col))).withColumns({"logits": F.col("_score.logits"), "scorer_error": F.col("_score.error")}).drop("_score")
+
+
+def _alone(scorer: Callable, text: str) -> tuple[list[float] | None, str | None]:
+    try:
+        return scorer([text])[0], None
+    except Exception as error:
+        return None, f"{type(error).__name__}: {error}"
 
 
 def severity(confidence: Column) -> Column:

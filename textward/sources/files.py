@@ -21,16 +21,32 @@ def wanted(path: Column, include: list[str] | None = None) -> Column:
     return test
 
 
+def _named(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of the paths that are files, as Spark names them; only their status is asked for."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    out = []
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        for status in p.getFileSystem(conf).globStatus(p) or []:
+            if status.isFile():
+                out.append(status.getPath().toString())
+    return out
+
+
+def _found(spark: SparkSession, paths: list[str], include: list[str] | None) -> DataFrame:
+    """Wanted files below folders, and every file named itself, whatever its suffix."""
+    found, named = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths), _named(spark, paths)
+    return found.where(wanted(F.col("path"), include) | F.col("path").isin(named) if named else wanted(F.col("path"), include))
+
+
 def discover(spark: SparkSession, paths: list[str], include: list[str] | None = None) -> DataFrame:
-    """path and length of wanted files below folders; nothing is read but their names."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
-    return found.select("path", "length").where(wanted(F.col("path"), include))
+    """path and length of wanted files below folders and of files named; nothing is read but their names."""
+    return _found(spark, paths, include).select("path", "length")
 
 
 def read_texts(spark: SparkSession, paths: list[str], include: list[str] | None = None) -> DataFrame:
-    """file and text (UTF-8) of wanted files."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
-    return found.where(wanted(F.col("path"), include)).select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("text"))
+    """file and text of the same files: UTF-8, with U+FFFD in place of bytes that are not."""
+    return _found(spark, paths, include).select(F.col("path").alias("file"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def verified(spark: SparkSession, path: str, digest: str) -> bool:
