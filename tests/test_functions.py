@@ -135,3 +135,13 @@ def test_matches_hold_the_required_literals(spark):
                     seen += 1
                     assert all(any(s in shown.lower() for s in group) for group in required(p.regex, p.flags)), (p.id, shown)
     assert seen > 60
+
+
+def test_quoted_texts_reach_the_plan_whole(spark):
+    from textward.operators.scan import _quoted, _rows
+    from textward.sources.patterns import default_database, legacy_database
+
+    texts = [x for db in (default_database(), legacy_database()) for p in _rows(db) for x in (p["java"], *(s for g in p["literals"] for s in g))]
+    texts += ["${x}", "\\$\\{", "it's", "\\'", "\\n"]
+    row = spark.range(1).selectExpr(f"array({', '.join(map(_quoted, texts))}) AS x").first()
+    assert row.x == texts

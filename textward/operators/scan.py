@@ -7,7 +7,6 @@ which patterns occur, and only those are searched again for spans, gated, ordere
 from __future__ import annotations
 
 import json
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,13 +94,20 @@ def _gated(spans: Column, p: Column, threshold: float) -> Column:
     return F.filter(F.transform(passing, shaped), lambda s: s["confidence"] >= threshold)
 
 
-def _occurs(p: dict) -> Column:
-    """True where pattern p matches: the literals its matches hold are looked for first, in the lower-cased text."""
-    lower = F.col("_lower" if p["raw"] else "_searched_lower")
-    test = F.col("_text" if p["raw"] else "_searched").rlike(p["java"])
-    for group in reversed(p["literals"]):
-        test = reduce(lambda a, b: a | b, [lower.contains(s) for s in group]) & test
-    return test
+def _quoted(x: str) -> str:
+    """x as a string of SQL text; '$' is escaped too, as '${' would be taken for a variable."""
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'").replace("$", "\\u0024") + "'"
+
+
+def _occurring(patterns: list[dict]) -> Column:
+    """Numbers of the patterns that match: the literals their matches hold are looked for first, in the lower-cased
+    text. One SQL text, as building thousands of columns one by one takes seconds."""
+    tests = []
+    for p in patterns:
+        lower, text = ("_lower", "_text") if p["raw"] else ("_searched_lower", "_searched")
+        groups = ["(" + " OR ".join(f"contains({lower}, {_quoted(s)})" for s in group) + ")" for group in p["literals"]]
+        tests.append(f"CASE WHEN {' AND '.join([*groups, f'rlike({text}, {_quoted(p["java"])})'])} THEN {p['pat_ord']} END")
+    return F.expr(f"filter(array({', '.join(tests)}), h -> h IS NOT NULL)") if tests else F.array().cast("array<int>")
 
 
 def _threats(text: Column, searched: Column, places: Column, hits: Column, table: Column, threshold: float) -> Column:
@@ -177,8 +183,7 @@ def scan(df: DataFrame, db: PatternDatabase, text_col: str = "text", strictness:
     else:
         rows = rows.withColumn("_searched", F.col("_text")).withColumn("_places", F.lit(None).cast("array<int>"))
     rows = rows.withColumn("_lower", F.lower("_text")).withColumn("_searched_lower", F.when(F.col("_places").isNull(), F.col("_lower")).otherwise(F.lower("_searched")))
-    tests = [F.when(_occurs(p), F.lit(p["pat_ord"])) for p in patterns]
-    rows = rows.withColumn("_hits", F.filter(F.array(*tests), lambda h: h.isNotNull()) if tests else F.array().cast("array<int>"))
+    rows = rows.withColumn("_hits", _occurring(patterns))
     table = F.from_json(F.lit(json.dumps(patterns)), TABLE)
     full = F.when(F.size("_hits") > 0, _threats(F.col("_text"), F.col("_searched"), F.col("_places"), F.col("_hits"), table, THRESHOLDS[strictness]))
     rows = rows.withColumn("_full", full)
