@@ -207,8 +207,11 @@ def scan(df: DataFrame, db: PatternDatabase, text_col: str = "text", strictness:
 
 
 def threats(scanned: DataFrame, *keys: str) -> DataFrame:
-    """One row per threat of a scan: keys, position in the scan's order, and the threat's fields."""
-    return scanned.select(*keys, F.posexplode("threats").alias("position", "threat")).select(*keys, "position", "threat.*")
+    """One row per threat of a scan: keys, position in the scan's order, and the threat's fields.
+
+    A plain posexplode() would have the optimizer infer a filter on the array's size and push it below the scan, which
+    would then run several times a row."""
+    return scanned.select(*keys, F.posexplode_outer("threats").alias("position", "threat")).where("position IS NOT NULL").select(*keys, "position", "threat.*")
 
 
 assert SEVERITIES == ["low", "medium", "high", "critical"]
