@@ -73,3 +73,34 @@ def test_rows_that_repeat_an_id_are_cut_each_at_their_places(spark):
     rows = [(1, a), (2, a), (2, b), (3, b[:70] + a[30:100])]
     got = sorted(tuple(r)[:5] for r in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == brute(rows, 50) and [r[2] for r in got if r[0] == 2] in ([0, 120], [120, 0])
+
+
+def test_anchors_with_few_bytes_are_sorted_in_memory(monkeypatch):
+    import textward.llm.suffix_dedup as m
+
+    rng, length = random.Random(8), 50
+    rows = []
+    for anchor in range(40):
+        core = bytes(rng.choices(b"abc\xc3\xa9", k=44))
+        rows += [(anchor, k, rng.randrange(1000), (b"xy" if k % 2 else b"zy")[: k % 3] + core + bytes(rng.choices(b"ab", k=rng.randrange(14)))) for k in range(30)]
+    least: dict = {}
+    for anchor, _, doc, text in rows:
+        for i in range(len(text) - length + 1):
+            s = anchor, text[i : i + length]
+            least[s] = min(least.get(s, doc), doc)
+    expected = {(anchor, k, i): least[anchor, text[i : i + length]] for anchor, k, _, text in rows for i in range(len(text) - length + 1)}
+
+    def found():
+        runs = [run for columns in m.sort_by_anchor(iter(rows), length) for run in zip(*(c.tolist() for c in columns), strict=True)]
+        assert all(r[4] != s[4] or r[:2] != s[:2] for r, s in zip(runs, runs[1:]))  # runs are as long as can be
+        places = [((a, c, i), doc) for a, c, begin, stop, doc in runs for i in range(begin, stop)]
+        assert len(places) == len(dict(places))
+        return dict(places)
+
+    monkeypatch.setattr(m, "HELD", 5000)
+    with monkeypatch.context() as no_disk:
+        no_disk.setattr(m, "suffix_array", None)
+        assert found() == expected
+    monkeypatch.setattr(m, "HELD", 500)  # an anchor has more, so each is sorted on disk
+    assert found() == expected
+    assert [len(c) for c in m.sort_held([(1, 2, 3, b"short")], length)] == [0] * 5

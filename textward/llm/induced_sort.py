@@ -286,3 +286,18 @@ def prefix_blocks(t: np.ndarray, sa: np.ndarray, cap: int) -> Iterator[tuple[np.
 def common_prefixes(t: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
     """prefix_blocks' second part in one array."""
     return np.concatenate([np.zeros(0, np.int32), *(shared for _, shared in prefix_blocks(t, sa, cap))])
+
+
+def capped_order(t: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes of bytes t at starts by their first `length` bytes, which must lie in t, in memory; and
+    where in it a suffix differs from the one before in those. Bytes are compared eight at a time."""
+    padded = np.concatenate([t, np.zeros(8, np.uint8)])
+    words = np.ndarray(len(t) + 1, ">u8", padded.tobytes(), strides=(1,))
+    keys = [words[starts + at].astype(np.uint64) >> np.uint64(8 * max(0, 8 - (length - at))) for at in range(0, length, 8)]
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for key in keys:
+        ordered = key[order]
+        new[1:] |= ordered[1:] != ordered[:-1]
+    return order, new
