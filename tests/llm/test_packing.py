@@ -1,6 +1,8 @@
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -84,3 +86,20 @@ def test_empty_table(spark):
 def test_length_must_be_a_power_of_two(spark):
     with pytest.raises(ValueError):
         pack_documents(spark.createDataFrame(DOCS, "doc_id long, text string, start string"), "x", longest=1000)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_texts_encoded_together(name):
+    """Of many texts each distinct piece is looked up once, whatever stands beside it, and each has the library's ids."""
+    rng = random.Random(3)
+    parts = ["a", "B", "don't", "a,b,.", "it.s,", "Word", "end...", "x1", " ", " ", " ", "\n", "  ", "\t", "é", "ß", "中", "́", "\xa0", "!!", "....?", "[UNK]", "</s>", "<|endoftext|>"]
+    texts = [None, "", " ", "\n", "a ", "\na", "", *("".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(1500))]
+    path = vocabulary_path(name)
+    enc = TextEncoder(path)
+    for cut in (pa.array(texts), pa.array(texts).slice(5), pa.array(texts).slice(0, 1), pa.array([], pa.string())):
+        whole = [np.append(np.frombuffer(enc.encode_whole(t or ""), "<u4"), 2).tolist() for t in cut.to_pylist()]
+        assert [x.tolist() for x in enc.encode_all(cut, 2)] == whole
+    plain = TextEncoder(path)
+    made, plain._keys._make = [], (lambda make: lambda key: made.append(key) or make(key))(plain._keys._make)
+    plain.encode_all(pa.array(["one two, two one\ntwo" for _ in range(50)]), 2)
+    assert sorted(made) == [b"\ntwo", b" one", b" two", b",", b"one"]
