@@ -24,11 +24,11 @@ BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]
 #: Appended to each document by the packing and binary-output operators.
 END_ID = 2
 #: Pieces kept per worker and table: the newest so many, and of the same number before them those asked for since.
-#: Memory is bounded (about 80 MB a table).
-PIECES_KEPT = 200_000
+#: Memory is bounded (about 80 MB for 200,000 pieces).
+PIECES_KEPT, WORDS_KEPT = 250_000, 50_000
 
 #: Text bytes (beyond a longer document) that are encoded at a time.
-BYTES_AT_A_TIME = 8_000_000
+BYTES_AT_A_TIME = 4_000_000
 
 #: A piece may be cut off only where printing characters stand on both sides.
 _PLAIN = frozenset(chr(k) for a, b in ((0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0x24F)) for k in range(a, b + 1))
@@ -92,8 +92,8 @@ class TextEncoder:
         self._lower = split is not None
         self._split = regex.compile(split or BYTE_LEVEL_SPLIT).findall
         self._letters = _byte_letters()
-        self._words = _Pieces(self._encode_word)
-        self._keys = _Pieces(self._encode_key, 2 * PIECES_KEPT)
+        self._words = _Pieces(self._encode_word, WORDS_KEPT)
+        self._keys = _Pieces(self._encode_key)
         # a line break alone between printing characters is a token, or is dropped as white space
         self._break = self.encode_whole("a\nb")[4:-4]
 
